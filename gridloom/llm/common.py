@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -159,7 +162,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     """Slices of a batch with about ``most`` bytes of text each; one text is never split."""
     if not batch.num_rows:
         return
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0))
     part = np.cumsum(lengths) // most
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -178,6 +181,7 @@ def env_path(name: str, default: str) -> str:
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """docs with a row key: a row's place in its input partition, which is the same in every reading of
     files. Where docs is not read straight from files, it is written first, so that this holds for it."""
+    ship(docs.sparkSession)
     plan = docs._jdf.queryExecution().executedPlan().toString()
     if "FileScan" not in plan or any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Existing")):
         docs = cut(docs)

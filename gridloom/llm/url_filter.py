@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 # The vocabulary and the host rules (verdict, host, path).
 STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "malware", "phishing", "warez", "cheap-pills", "spam-farm", "link-farm", "torrent")
 SOFT_TERMS = ("adult", "bet", "bonus", "cheap", "click", "dating", "deal", "free", "jackpot", "loan", "lottery", "pills", "poker", "prize", "promo", "replica", "sex", "spam", "win")
@@ -58,6 +60,7 @@ def with_term_counts(pages: DataFrame, url: str, strict=STRICT_TERMS, soft=SOFT_
             columns = [*batch.columns, pa.array([a for a, _ in counts], pa.int32()), pa.array([b for _, b in counts], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_strict", "n_soft"])
 
+    ship(pages.sparkSession)
     out = pages.withColumn("n_strict", F.lit(0)).withColumn("n_soft", F.lit(0)).schema
     return pages.mapInArrow(run, out)
 
