@@ -26,7 +26,7 @@ from gridloom.llm.textstats import IS_HEAD, IS_SYMBOL, Stats, flags, sums
 from gridloom.shipping import ship
 
 TRAIN_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAF_WEIGHT, RIDGE = 80, 4, 64, 0.1, 20.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAF_WEIGHT, RIDGE = 80, 4, 64, 0.1, 1.0, 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
