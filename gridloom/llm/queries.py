@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, lm_score, mixing, near_dup, quality_model, quality_rules, secret_scan, sentencepiece_fst, url_filter
+from gridloom.llm import exact_dedup, line_dedup, lm_score, mixing, near_dup, quality_model, quality_rules, secret_scan, sentencepiece_fst, url_filter
 from gridloom.llm.common import load
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": lambda s, d: line_dedup.digest(load(s, d, "documents")),
         "op2_near_dup": lambda s, d: near_dup.digest(load(s, d, "documents")),
         "op3_quality_rules": lambda s, d: quality_rules.digest(load(s, d, "documents"), load(s, d, "labels")),
         "op4_secret_scan": lambda s, d: secret_scan.digest(load(s, d, "documents")),
