@@ -1 +1,3 @@
 """Raster analytics on Spark."""
+
+__version__ = "0.1.0"
