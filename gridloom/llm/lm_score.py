@@ -22,6 +22,7 @@ documents all counts are 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,13 +38,14 @@ from gridloom.llm.common import _powers as powers
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 ROW_BITS = (8, 12, 14, 15, 16)  # rows of each predictor's table: contexts of 1, 2, 3, 4 bytes, word so far
 ORDERS = len(ROW_BITS)
 FIRST_ROW = np.concatenate([[0], np.cumsum([1 << b for b in ROW_BITS])])
 MOST_SLOTS = int(FIRST_ROW[-1]) * 256
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 8_000
-SEEN = np.array([1, 2, 4, 16, 256])  # edges of the gate: times that a context was seen
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+SEEN = (1, 2, 4, 16, 256)  # edges of the gate: times that a context was seen
 PRIOR = 0.05
 MAP_CELLS, MAP_REACH = 33, 8.0
 STEP = 4096  # bits that are learned from at once
@@ -81,10 +83,11 @@ class Contexts:
         begin[1:] = np.maximum(begin[1:], np.where(space[:-1], np.arange(1, size + n), 0))
         begin = np.maximum.accumulate(begin) if size + n else begin
         word = (sums[:-1] - sums[begin]) * down[begin] if size + n else sums[:-1]
-        self.rows = [
-            (mix64(c + np.uint64(k << 40)) >> np.uint64(64 - bits)).astype(np.int64) + FIRST_ROW[k] for k, (c, bits) in enumerate(zip((*joined, word), ROW_BITS, strict=True))
-        ]
-        self.key = mix64(mix64(word) + joined[3] * np.uint64(0x9E3779B97F4A7C15)) ^ (data.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        self.rows = [before[0].astype(np.int32)]
+        for k in range(1, ORDERS):
+            hashed = (joined[k] if k < 4 else word) * _SPREAD
+            self.rows.append((hashed >> np.uint64(64 - ROW_BITS[k])).astype(np.int32) + np.int32(FIRST_ROW[k]))
+        self.key = mix64(word * _SPREAD + (joined[3] << np.uint64(8) | data) * np.uint64(0xA0761D6478BD642F))
 
 
 @dataclass
@@ -100,15 +103,15 @@ class Mixer:
         return Mixer(np.full((8, ORDERS, len(SEEN) + 1), 0.3), np.tile(cells, (8, len(SEEN) + 1, 1)))
 
     def predict(self, place: np.ndarray, logits: np.ndarray, gates: np.ndarray):
-        """Probability of a 1, and what learning needs. logits, gates: bits x predictors."""
-        z = np.zeros(len(logits))
+        """Probability of a 1, and what learning needs. logits, gates: predictors x bits."""
+        z = np.zeros(logits.shape[1])
         for k in range(ORDERS):
-            z += self.weight[place, k, gates[:, k]] * logits[:, k]
+            z += self.weight[place, k, gates[k]] * logits[k]
         mixed = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         spot = (np.clip(z, -MAP_REACH, MAP_REACH - 1e-9) + MAP_REACH) * ((MAP_CELLS - 1) / (2 * MAP_REACH))
         cell = spot.astype(np.int64)
         part = spot - cell
-        gate = gates[:, 3]
+        gate = gates[3]
         refined = self.table[place, gate, cell] * (1 - part) + self.table[place, gate, cell + 1] * part
         return np.clip((mixed + refined) / 2, LEAST_P, 1 - LEAST_P), mixed, (gate, cell, part)
 
@@ -116,9 +119,9 @@ class Mixer:
         _, mixed, (gate, cell, part) = self.predict(place, logits, gates)
         error = bits - mixed
         for k in range(ORDERS):
-            slot = place * (len(SEEN) + 1) + gates[:, k]
+            slot = place * (len(SEEN) + 1) + gates[k]
             n = 8 * (len(SEEN) + 1)
-            push = np.bincount(slot, error * logits[:, k], n) / (np.bincount(slot, minlength=n) + 32)
+            push = np.bincount(slot, error * logits[k], n) / (np.bincount(slot, minlength=n) + 32)
             self.weight[:, k, :] += rate * push.reshape(8, -1)
         width = MAP_CELLS
         slot = (place * (len(SEEN) + 1) + gate) * width + cell
@@ -142,21 +145,28 @@ class Predictors:
         np.cumsum(self.sums, axis=1, dtype=np.uint16, out=self.sums)
 
     def bits(self, rows: list[np.ndarray], byte: np.ndarray, own: int):
-        """For each of the 8 bits: the bit, logits and gates of the predictors. own: times that each byte
-        itself was counted, to be left out."""
-        byte = byte.astype(np.int64)
+        """For each of the 8 bits: its place, the bits, logits and gates (predictors x bytes). own: times
+        that each byte itself was counted, to be left out."""
+        byte = byte.astype(np.int32)
+        home = np.stack(rows) * np.int32(257)
+        sums = self.sums.reshape(-1)
+        low, high = np.zeros(home.shape, np.float32), sums[home + 256].astype(np.float32)
+        start = np.zeros_like(byte)
         for j in range(8):
-            low = byte >> (8 - j) << (8 - j)
-            middle, high = low + (128 >> j), low + (256 >> j)
+            middle = sums[home + (start + (128 >> j))].astype(np.float32)
             bit = byte >> (7 - j) & 1
-            logits, gates = np.empty((len(byte), ORDERS)), np.empty((len(byte), ORDERS), np.int64)
-            for k in range(ORDERS):
-                split = self.sums[rows[k], middle].astype(np.int64)
-                zeros = np.maximum(split - self.sums[rows[k], low] - own * (1 - bit), 0)
-                ones = np.maximum(self.sums[rows[k], high] - split - own * bit, 0)
-                logits[:, k] = np.log((ones + PRIOR) / (zeros + PRIOR))
-                gates[:, k] = np.searchsorted(SEEN, zeros + ones, side="right")
-            yield j, bit, logits, gates
+            zeros, ones = middle - low, high - middle
+            if own:
+                zeros = np.maximum(zeros - own * (1 - bit), 0)
+                ones = np.maximum(ones - own * bit, 0)
+            total = zeros + ones
+            gates = np.zeros(home.shape, np.uint8)
+            for edge in SEEN:
+                gates += total >= edge
+            yield j, bit, np.log((ones + PRIOR) / (zeros + PRIOR)), gates
+            one = bit == 1
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
+            start += bit * (128 >> j)
 
 
 @dataclass
@@ -169,6 +179,7 @@ class Scorer:
 
     def ready(self) -> Scorer:
         self.predictors = Predictors(self.slots, self.counts)
+        self.slots = self.counts = None
         self.kept_key = np.zeros(1 << KEPT_BITS, dtype=np.uint64)
         self.kept = np.zeros(1 << KEPT_BITS)
         return self
@@ -186,7 +197,7 @@ class Scorer:
             for a in range(0, len(at), 1 << 15):
                 some = at[a : a + (1 << 15)]
                 for j, bit, logits, gates in self.predictors.bits([r[some] for r in found.rows], found.data[some], 0):
-                    p, _, _ = self.mixer.predict(np.full(len(some), j), logits, gates)
+                    p, _, _ = self.mixer.predict(j, logits, gates)
                     fresh[a : a + len(some)] += np.log10(np.where(bit == 1, p, 1 - p))
             value[missed] = fresh[back]
             self.kept_key[cell[at]], self.kept[cell[at]] = found.key[at], fresh
@@ -203,7 +214,7 @@ def train_mixer(sample: list[str], slots: np.ndarray, counts: np.ndarray, counte
         parts = list(predictors.bits([r[to] for r in found.rows], found.data[to], int(counted)))
         place = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
         bits = np.concatenate([p[1] for p in parts])
-        mixer.learn(place, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), bits, 0.2 / (1 + n / 400))
+        mixer.learn(place, np.concatenate([p[2] for p in parts], axis=1), np.concatenate([p[3] for p in parts], axis=1), bits, 0.2 / (1 + n / 400))
     return mixer
 
 
@@ -216,23 +227,39 @@ def _blocks(part: pa.RecordBatch, sizes: dict[int, int]) -> np.ndarray:
     return (home << 24) + before // BLOCK_BYTES
 
 
+WORDS, SLOTS, DOCS = 0, 1, 2  # kinds of counts
+CHUNK = 1 << 16  # slots that travel together
+ROWS_OUT = 1 << 16
+TABLE_PARTS = 32  # each holds a fixed share of the tables
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
+
+
 def _count(rows: DataFrame) -> DataFrame:
-    """From rid, text, train: (block, key, n). Blocks >= 0: distinct words of a block and their training
-    count; block -1: slots of the predictors' tables; block -2: number of training documents (key 0)."""
+    """From rid, text, train: (kind, block, key, n, data). WORDS: the distinct words of a block and their
+    training count; SLOTS: chunk ``key`` of the predictors' tables; DOCS: number of training documents."""
+    names = ["kind", "block", "key", "n", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: dict[int, int] = {}
         words: list[tuple[np.ndarray, np.ndarray]] = []
         now, slots, docs = -1, [np.zeros((1 << b) * 256, dtype=np.int32) for b in ROW_BITS], 0
 
-        def rows_of(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["block", "key", "n"])
-
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, n = np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words])
             words.clear()
             key, place = np.unique(keys, return_inverse=True)
-            return rows_of(now, key, np.bincount(place, n, len(key)))
+            n = np.bincount(place, n, len(key)).astype(np.int64)
+            for a in range(0, len(key), ROWS_OUT):
+                k = key[a : a + ROWS_OUT]
+                columns = [pa.array(np.full(len(k), WORDS, np.int32)), pa.array(np.full(len(k), now, np.int64)), pa.array(k), pa.array(n[a : a + ROWS_OUT]), pa.nulls(len(k), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -242,7 +269,7 @@ def _count(rows: DataFrame) -> DataFrame:
                     chosen = np.flatnonzero(blocks == block)
                     own = part.slice(int(chosen[0]), len(chosen))
                     if block != now and words:
-                        yield flush()
+                        yield from flush()
                     now = int(block)
                     texts = Texts(own.column(1), lower=True)
                     starts, ends, first = texts.words()
@@ -255,16 +282,33 @@ def _count(rows: DataFrame) -> DataFrame:
                 if learned.num_rows:
                     found = Contexts(Texts(learned.column(1), lower=True))
                     for k in range(ORDERS):
-                        slot, n = np.unique(((found.rows[k] - FIRST_ROW[k]) << 8) + found.data, return_counts=True)
-                        slots[k][slot] += n.astype(np.int32)
+                        np.add.at(slots[k], ((found.rows[k] - np.int32(FIRST_ROW[k])) << np.int32(8)) + found.data, np.int32(1))
         if words:
-            yield flush()
+            yield from flush()
+        tail = [(DOCS, -1, 0, docs, None)]
         for k in range(ORDERS):
-            at = np.flatnonzero(slots[k])
-            yield rows_of(-1, at + FIRST_ROW[k] * 256, slots[k][at])
-        yield rows_of(-2, np.zeros(1, np.int64), np.array([docs]))
+            for a in range(0, len(slots[k]), CHUNK):
+                if slots[k][a : a + CHUNK].any():
+                    tail.append((SLOTS, -1, (int(FIRST_ROW[k]) * 256 + a) // CHUNK, 0, _packed(slots[k][a : a + CHUNK])))
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tail, strict=True), types, strict=True)], names=names)
+
+    return rows.mapInArrow(run, "kind int, block bigint, key bigint, n bigint, data binary")
 
-    return rows.mapInArrow(run, "block bigint, key bigint, n bigint")
+
+def _summed(chunks: DataFrame) -> DataFrame:
+    """From key, data: key, data summed over all rows of a key, one row at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = _unpacked(data)
+                total[key] = total[key] + own if key in total else own
+        for key, values in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(values)], pa.binary())], names=["key", "data"])
+
+    return chunks.repartition(TABLE_PARTS, "key").mapInArrow(run, "key bigint, data binary")
 
 
 def _place(rows: DataFrame) -> DataFrame:
@@ -282,6 +326,16 @@ def _place(rows: DataFrame) -> DataFrame:
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
+def _slots(table: list) -> tuple[np.ndarray, np.ndarray]:
+    slots, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for key, data in sorted(table):
+        values = _unpacked(bytes(data))
+        at = np.flatnonzero(values)
+        slots.append(at + key * CHUNK)
+        counts.append(values[at])
+    return np.concatenate(slots), np.concatenate(counts)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: the columns of OUT."""
     spark = docs.sparkSession
@@ -289,18 +343,18 @@ def score(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid").select("rid", "text", "doc_id", held_out.alias("held_out"))
     counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train"))))
 
-    table = counted.where("block = -1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    slots, counts = np.asarray(table.column("key")), np.asarray(table.column("n"))
+    table = _summed(counted.where(F.col("kind") == SLOTS).select("key", "data")).collect()
+    slots, counts = _slots(table)
     short = rows.where(~F.col("held_out") & (F.octet_length("text").between(1, SAMPLE_BYTES)))
     sample = [r[0] for r in short.orderBy(F.xxhash64("doc_id", "text"), "text").select("text").limit(SAMPLE_DOCS).collect()]
     scorer = spark.sparkContext.broadcast(Scorer(slots.astype(np.int32), counts, train_mixer(sample, slots, counts)))
 
     same = W.partitionBy("key")
-    words = counted.where("block >= 0").select(
+    words = counted.where(F.col("kind") == WORDS).select(
         "block", "key", F.sum("n").over(same).alias("n"), F.col("n").alias("own"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
     )
     words = cut(words)
-    ends = counted.where("block = -2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = counted.where(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = words.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count_if(F.col("first") & (F.col("n") > 0))).first()
     total, distinct = total + ends, distinct + (ends > 0)
 
