@@ -87,7 +87,7 @@ class Contexts:
         for k in range(1, ORDERS):
             hashed = (joined[k] if k < 4 else word) * _SPREAD
             self.rows.append((hashed >> np.uint64(64 - ROW_BITS[k])).astype(np.int32) + np.int32(FIRST_ROW[k]))
-        self.key = mix64(word * _SPREAD + (joined[3] << np.uint64(8) | data) * np.uint64(0xA0761D6478BD642F))
+        self.key = mix64(word * _SPREAD + (joined[3] << np.uint64(8) | data) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # never 0
 
 
 @dataclass
