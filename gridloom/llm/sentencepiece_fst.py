@@ -254,7 +254,8 @@ def decode(encoded: DataFrame, path: str = MODEL_PATH, ids: str = "ids") -> Data
             texts = [None if x is None else fst.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return inner.mapInArrow(run, inner.withColumn("decoded", F.lit("").cast("string")).schema).select(*rows.back(("decoded",)), "decoded")
+    schema = inner.withColumn("decoded", F.lit(None).cast("string")).schema
+    return inner.mapInArrow(run, schema).select(*rows.back(("decoded",)), "decoded")
 
 
 def digest(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
