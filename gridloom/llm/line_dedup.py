@@ -34,16 +34,6 @@ BUCKET = 8  # width of a bucket of letter counts; wider than twice the threshold
 LETTER_CLASSES = ("eE", "aAtT", "iInN", "oOsS", "rRhH", "lLdDcC", "uUmMgGfF", " ,.")
 
 
-def _segment(length, i: int, threshold: int):
-    """(start, size) of segment i of a line of the given length: the last ones are longer by one."""
-    parts = threshold + 1
-    small = F.floor(length / parts).cast("int")
-    longer = length % parts
-    before = F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-    size = small + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-    return (small * i + before).cast("int"), size.cast("int")
-
-
 def probe_places(threshold: int) -> list[tuple[int, int, int]]:
     """(difference in length, segment, offset of the substring from the segment's start) of all probes."""
     found = []
@@ -54,23 +44,18 @@ def probe_places(threshold: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _key(line, start, size, i: int, length):
-    return F.xxhash64(F.substring(line, start + 1, size), F.lit(i), length)
-
-
-def _index_keys(line, length, threshold: int):
-    return F.array(*[_key(line, *_segment(length, i, threshold), i, length) for i in range(threshold + 1)])
-
-
-def _probe_keys(line, length, threshold: int, shortest: int):
-    """(key, difference in length) of each probe that lies within the line."""
-    found = []
-    for longer, i, offset in probe_places(threshold):
-        target = length - longer
-        start, size = _segment(target, i, threshold)
-        fits = (target >= shortest) & (start + offset >= 0) & (start + offset + size <= length)
-        found.append(F.when(fits, F.struct(_key(line, start + offset, size, i, target).alias("key"), F.lit(longer).alias("longer"))))
-    return F.array_compact(F.array(*found))
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int, shortest: int) -> DataFrame:
+    """lid, key, longer: for lines (lid, line, size) the key of the substring at each place that lies within
+    the line. Places come as rows, so that each key is a few generated instructions. Of a line of length l,
+    the last l mod (threshold + 1) segments are longer by one."""
+    parts = threshold + 1
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("longer", "i", "offset"), p, strict=True)]) for p in places])
+    rows = lines.select("lid", "line", "size", F.explode(listed).alias("p")).select("lid", "line", "size", "p.longer", "p.i", "p.offset")
+    rows = rows.withColumn("target", F.col("size") - F.col("longer")).where(F.col("target") >= shortest)
+    rows = rows.withColumn("even", F.expr(f"target div {parts}").cast("int")).withColumn("ahead", F.col("i") - parts + F.col("target") % parts)
+    rows = rows.withColumn("start", F.col("even") * F.col("i") + F.greatest(F.lit(0), F.col("ahead")) + F.col("offset"))
+    rows = rows.withColumn("width", F.col("even") + F.when(F.col("ahead") >= 0, 1).otherwise(0)).where("start >= 0 and start + width <= size")
+    return rows.select("lid", F.xxhash64(F.substring("line", F.col("start") + 1, F.col("width")), "i", "target").alias("key"), "longer")
 
 
 def _counts(line):
@@ -83,9 +68,8 @@ def within(a, b, threshold: int):
     edits; only 2 * threshold + 1 diagonals are held, all in one integer, and one step reads a character."""
     width = (1 << (2 * threshold + 1)) - 1
     start = [sum(1 << (threshold + d) for d in range(e + 1)) for e in range(threshold + 1)]
-    xs, ys = F.split(a, ""), F.split(b, "")
 
-    def step(state, j):
+    def step(xs, ys, state, j):
         read = F.get(ys, j)
         same = F.lit(0)
         for d in range(-threshold, threshold + 1):
@@ -97,7 +81,10 @@ def within(a, b, threshold: int):
         return F.struct(*[n.alias(f"r{e}") for e, n in enumerate(now)])
 
     first = F.struct(*[F.lit(s).alias(f"r{e}") for e, s in enumerate(start)])
-    last = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), first, step, lambda s: s[f"r{threshold}"])
+    # both strings are split once, as variables of an outer function
+    chars = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    places = F.sequence(F.lit(0), F.length(b) - 1)
+    last = F.transform(chars, lambda c: F.aggregate(places, first, lambda s, j: step(c["x"], c["y"], s, j), lambda s: s[f"r{threshold}"]))[0]
     close = F.abs(F.length(a) - F.length(b)) <= threshold
     return F.when(close, F.getbit(last, F.length(a) - F.length(b) + threshold) == 1).otherwise(False)
 
@@ -107,7 +94,8 @@ def _split_long(index: DataFrame, probes: DataFrame, lines: DataFrame, long: Dat
     by at most that much in each class: buckets of three of them join the key, and a probe asks for the
     bucket on either side; all of them must fit before a pair is made."""
     counted = [f"c{i}" for i in range(len(LETTER_CLASSES))]
-    counts = lines.select("lid", *[c.alias(n) for c, n in zip(_counts(F.col("line")), counted, strict=True)])
+    crowded = index.join(long, "key").select("lid").unionByName(probes.join(long, "key").select("lid")).distinct()
+    counts = lines.join(crowded, "lid").select("lid", *[c.alias(n) for c, n in zip(_counts(F.col("line")), counted, strict=True)])
     keyed = counted[:3]
     held = index.join(long, "key").join(counts, "lid").select("key", *[F.floor(F.col(c) / BUCKET).alias("b" + c) for c in keyed], F.col("lid").alias("b"), *[F.col(c).alias("i" + c) for c in counted])
     asked = probes.join(long, "key").join(counts, "lid").select("key", F.col("lid").alias("a"), "longer", *counted)
@@ -120,16 +108,17 @@ def _split_long(index: DataFrame, probes: DataFrame, lines: DataFrame, long: Dat
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """From distinct lines (lid, line): pairs (a, b) within the threshold, each once."""
-    size = F.length("line")
-    able = lines.where(size >= shortest).select("lid", "line", size.alias("size"))
-    index = able.select("lid", F.explode(_index_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
-    probes = able.select("lid", F.explode(_probe_keys(F.col("line"), F.col("size"), threshold, shortest)).alias("p")).select("lid", "p.key", "p.longer")
+    """From distinct lines (lid, line, size: its length): pairs (a, b) within the threshold, each once."""
+    able = lines.where(F.col("size") >= shortest).select("lid", "line", "size")
+    index = _keyed(able, [(0, i, 0) for i in range(threshold + 1)], threshold, shortest).drop("longer")
+    probes = _keyed(able, probe_places(threshold), threshold, shortest)
     long = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("key"))
     asked = probes.select(F.col("lid").alias("a"), "key", "longer").join(long, "key", "left_anti")
     held = index.select(F.col("lid").alias("b"), "key")
     same = (F.col("a") != F.col("b")) & ((F.col("longer") > 0) | (F.col("a") < F.col("b")))
-    pairs = asked.join(held, "key").where(same).select("a", "b").unionByName(_split_long(index, probes, able, long, threshold))
+    pairs = asked.join(held, "key").where(same).select("a", "b")
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_split_long(index, probes, able, long, threshold))
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     needed = cut(able.join(named, "lid").select("lid", "line"))
@@ -151,10 +140,10 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = S
     named = _occurrences(rows).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
     place = F.struct("doc_id", "rid", "pos")
     distinct = named.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    lines = cut(distinct.withColumn("lid", F.monotonically_increasing_id()))
-    found = cut(line_links(lines.select("lid", "line"), threshold, shortest))
+    lines = cut(distinct.withColumn("lid", F.monotonically_increasing_id()).withColumn("size", F.length("line")))
+    found = cut(line_links(lines.select("lid", "line", "size"), threshold, shortest))
     degree = found.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
-    roots = cut(components(found))
+    roots = cut(components(found, native=True))
     slim = lines.select("lid", "h", "g", "first", "n").join(degree, "lid", "left").where("n > 1 or links is not null")
     classed = cut(slim.join(roots, slim["lid"] == roots["node"], "left").select("h", "g", "first", F.coalesce("root", "lid").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     keeper = cut(classed.groupBy("root").agg(F.min("first").alias("keeper")))
