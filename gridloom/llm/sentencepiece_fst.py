@@ -31,7 +31,7 @@ from gridloom.llm.common import Rows, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 32
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -73,6 +73,9 @@ class Transducer:
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.score = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
         self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # length of the longest piece by its first two characters
+        for piece in self.ids:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.surface = [self._surface(p, kind) for p, _, kind in pieces]
@@ -125,23 +128,42 @@ class Transducer:
 
     def path(self, text: str) -> list[str]:
         """The shortest path's pieces for one normalised word; characters without a piece stand alone."""
-        size, ids = len(text), self.ids
-        last = [""] * (size + 1)
-        if self.model.kind == BPE:
-            for end in range(1, size + 1):
-                for start in range(max(0, end - self.longest), end):
-                    piece = text[start:end]
-                    if (piece in ids or end - start == 1) and (not start or (last[start] and self._follows(last[start], piece))):
-                        last[end] = piece
+        return self._only_path(text) if self.model.kind == BPE else self._least_path(text)
+
+    def _only_path(self, text: str) -> list[str]:
+        """The one path of finite weight, depth first and longest piece first. What is on the path so far is
+        the only one to its end, so a place from which nothing goes on is on no path."""
+        size, ids, reach, pairs = len(text), self.ids, self.reach, self.pairs
+        path: list[str] = []
+        dead: set[int] = set()
+        at, last, n = 0, "", min(reach.get(text[:2], 1), size)
+        while at < size:
+            while n:
+                piece = text[at : at + n]
+                if (piece in ids or n == 1) and at + n not in dead:
+                    follows = pairs.get((last, piece)) if last else True
+                    if follows if follows is not None else self._follows(last, piece):
                         break
-        else:
-            cost = [0.0] + [float("inf")] * size
-            for end in range(1, size + 1):
-                for start in range(max(0, end - self.longest), end):
-                    piece = text[start:end]
-                    weight = -self.score[piece] if piece in ids else self.cost_of_unknown if end - start == 1 else None
-                    if weight is not None and cost[start] + weight < cost[end]:
-                        cost[end], last[end] = cost[start] + weight, piece
+                n -= 1
+            if n:
+                path.append(piece)
+                at, last = at + n, piece
+                n = min(reach.get(text[at : at + 2], 1), size - at)
+            else:
+                dead.add(at)
+                n = len(path.pop())
+                at, last, n = at - n, path[-1] if path else "", n - 1
+        return path
+
+    def _least_path(self, text: str) -> list[str]:
+        size, ids = len(text), self.ids
+        last, cost = [""] * (size + 1), [0.0] + [float("inf")] * size
+        for end in range(1, size + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = text[start:end]
+                weight = -self.score[piece] if piece in ids else self.cost_of_unknown if end - start == 1 else None
+                if weight is not None and cost[start] + weight < cost[end]:
+                    cost[end], last[end] = cost[start] + weight, piece
         out, at = [], size
         while at:
             out.append(last[at])
