@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, Texts, crc_mod, cut, keyed, mix64, range_hashes, slices
+from gridloom.llm.common import SPACE, Texts, crc_mod, cut, keyed, mix64, range_hashes, slices, small_batches
 from gridloom.llm.common import _powers as powers
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 1 << 19
-ROW_BITS = (8, 12, 14, 15, 16)  # rows of each predictor's table: contexts of 1, 2, 3, 4 bytes, word so far
+ROW_BITS = (8, 12, 14, 15, 15)  # rows of each predictor's table: contexts of 1, 2, 3, 4 bytes, word so far
 ORDERS = len(ROW_BITS)
 FIRST_ROW = np.concatenate([[0], np.cumsum([1 << b for b in ROW_BITS])])
 MOST_SLOTS = int(FIRST_ROW[-1]) * 256
@@ -341,7 +341,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held_out = crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid").select("rid", "text", "doc_id", held_out.alias("held_out"))
-    counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train"))))
+    with small_batches(spark):
+        counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train"))))
 
     table = _summed(counted.where(F.col("kind") == SLOTS).select("key", "data")).collect()
     slots, counts = _slots(table)
