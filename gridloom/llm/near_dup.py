@@ -10,9 +10,9 @@ Long lists (over ``LONG`` classes: shared passages, large groups of copies) are
 They are left out of the lists above, which costs nothing for a class that has few values in them. The
 other classes ("crowded") are indexed again, among themselves, by more of their sketch: values that are
 rare there make pairs as before. Classes whose sketch is mostly made of common values even there are
-compared with one hub per list; only classes that a hub has not joined with the list's largest component
-are then compared further, with hub after hub and at last with every other component of the list. So no
-pair within a component that is already known is looked at, and no pair across components is left out.
+compared with a hub, the most central class of each list; only classes that two rounds of this have not
+joined with the list's largest component then meet the other components of the list. So no pair within a
+known component is looked at, and no pair across components is left out.
 
 Cases: null and empty texts have no shingles and are linked with nothing. doc_id names a document: rows
 that repeat a doc_id share a component. Rows without doc_id have no component and are kept. Fewer words
@@ -38,9 +38,10 @@ from gridloom.shipping import ship
 
 SKETCH, PREFIX, LONG = 64, 16, 64
 CROWDED = 4  # common values in a prefix
-MOSTLY, HARDLY = 35, 48  # common values in a sketch: from there hubs are used; up to there rare values are indexed
-RARE_PREFIX = 20
-HUB_ROUNDS, PAIRS_A_ROW = 6, 4
+OFTEN, HALF, MOSTLY = 38, 32, 51  # common values in a sketch; see _crowd_pairs
+RARE_PREFIX = 24
+HUB_ROUNDS = 2
+FEW_ROWS, FEW_SHINGLES = 100_000, 10_000_000  # of lists that one task may hold
 LEAST_PERCENT = 80  # what the numbers above are made for
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -153,59 +154,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _crowd_pairs(classes: DataFrame, crowded: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(pairs of crowded classes by rare values, lists (v, doc, n) of common values of those that hubs join)."""
+    """(pairs of crowded classes by rare values, lists (v, doc, n, weight) of common values of those that hubs
+    join); weight: how common a class's values are altogether."""
     full = classes.join(crowded, "doc").select("doc", "n", F.posexplode("sketch").alias("pos", "v"))
     lists = _with_counts(full)
-    common = lists.where(F.col("c") > LONG).groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
-    # shares of the sketch, so that sets smaller than a sketch count alike
-    share = F.col("common") * SKETCH / F.least(F.col("n"), F.lit(SKETCH))
-    marked = lists.join(common, "doc", "left").withColumn("share", F.coalesce(share, F.lit(0.0)))
-    marked = cut(marked.withColumn("rank", F.row_number().over(W.partitionBy("doc", F.col("c") > LONG).orderBy("pos"))))
-    most = F.when(F.col("share") <= MOSTLY, RARE_PREFIX).otherwise(SKETCH)
-    rare = marked.where((F.col("c") <= LONG) & (F.col("rank") <= most) & (F.col("share") <= HARDLY))
-    hubs = marked.where((F.col("c") > LONG) & (F.col("rank") <= PREFIX) & (F.col("share") > MOSTLY))
-    return _pairs(rare.select("v", "doc", "n"), like).select("a", "b").distinct(), hubs.select("v", "doc", "n")
-
-
-def _with_roots(lists: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return lists.join(found, lists["doc"] == found["node"], "left").select("v", "doc", "n", F.coalesce("root", "doc").alias("root"))
+    of_doc = W.partitionBy("doc")
+    # common values are counted per SKETCH values, so that sets smaller than a sketch count alike
+    share = F.count(F.when(F.col("c") > LONG, 1)).over(of_doc) * SKETCH / F.least(F.col("n"), F.lit(SKETCH))
+    weight = F.sum(F.when(F.col("c") > LONG, F.col("c"))).over(of_doc)
+    rank = F.row_number().over(W.partitionBy("doc", F.col("c") > LONG).orderBy("pos"))
+    marked = cut(lists.withColumns({"share": share, "weight": weight, "rank": rank}))
+    # a linked pair shares a value that is rare: one of the first ones, if at most OFTEN values of a sketch are
+    # common; any, if the sketch is the whole set and less than MOSTLY (80 percent) of it is common
+    whole = F.col("n") <= SKETCH
+    most = F.when(~whole & (F.col("share") <= OFTEN), RARE_PREFIX).otherwise(SKETCH)
+    rare = marked.where((F.col("c") <= LONG) & (F.col("rank") <= most))
+    hubs = marked.where((F.col("c") > LONG) & (F.col("rank") <= PREFIX) & (F.col("share") >= F.when(whole, MOSTLY).otherwise(HALF)))
+    return _pairs(rare.select("v", "doc", "n"), like).select("a", "b").distinct(), hubs.select("v", "doc", "n", "weight")
+
+
+def _with_roots(lists: DataFrame, links: DataFrame, near) -> DataFrame:
+    found = near(components(links))
+    return lists.join(found, lists["doc"] == found["node"], "left").select("v", "doc", "n", "weight", F.coalesce("root", "doc").alias("root"))
 
 
 def _hub_links(lists: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """links with those between classes of the lists (v, doc, n) added."""
+    """links with those between classes of the lists (v, doc, n, weight) added.
+
+    Members of a large group of near copies differ from its centre in places of their own, so that what is
+    linked with any other member is, as a rule, linked with the most central one, whose values are the most
+    common. That class is the hub. What a hub leaves out meets all others of its list at last; such a pair
+    is met once, under its smallest common value, and made only if its full sets confirm it."""
     lists = cut(lists)
-    rows = lists.count()
+    rows, shingles = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not rows:
         return links
-    for turn in range(HUB_ROUNDS + 1):
-        shuffled = F.xxhash64("doc", "v", F.lit(turn))
-        placed = cut(_with_roots(lists, links))
-        parts = cut(placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("doc", "n"), shuffled).alias("hub")))
-        sizes = parts.groupBy("v").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max_by("root", F.struct("size", "root")).alias("largest"))
-        sizes = cut(sizes.where(F.col("within") < F.col("all") * F.col("all")))
-        left = sizes.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()[0]
-        if not left:
+    # tables of a counted, small size are worked through by one task, which spares their shuffles
+    few = rows <= FEW_ROWS and shingles <= FEW_SHINGLES * PREFIX
+    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    own = lists.groupBy("doc").agg(F.array_sort(F.collect_list("v")).alias("values"))
+    classes, sets = cut(classes.join(own, "doc").select("doc", "sketch")), cut(sets.join(own, "doc").select("doc", "shingles", "values"))
+    lists, classes, sets = near(lists), near(classes), near(sets)
+    for turn in range(HUB_ROUNDS):
+        placed, open_lists = _open_lists(lists, links, near)
+        if open_lists is None:
             return links
-        open_lists = placed.join(sizes.select("v", "largest"), "v")
-        if turn == HUB_ROUNDS or left <= PAIRS_A_ROW * rows:
-            # every class outside the list's largest component meets all others of the list
-            some = open_lists.where("root <> largest").select("v", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
-            other = open_lists.select("v", F.col("doc").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"), F.col("largest").alias("l"))
-            once = (F.col("rq") == F.col("l")) | (F.col("p") < F.col("q"))
-            met = some.join(other, "v").where((F.col("rp") != F.col("rq")) & once & like.sizes(F.col("np"), F.col("nq")))
-        else:
-            # one class of the list's largest component, or of its second largest, meets all others
-            every = parts.join(sizes.select("v", "largest"), "v")
-            every = every if turn % 2 == 0 else every.where("root <> largest")
-            hub = cut(every.groupBy("v").agg(F.max_by(F.struct("hub", "root"), F.struct("size", "root")).alias("h")).select("v", "h.hub", F.col("h.root").alias("rp")))
-            met = open_lists.join(hub, "v").where((F.col("root") != F.col("rp")) & like.sizes(F.col("n"), F.col("hub.n")))
-            met = met.select(F.col("doc").alias("p"), F.col("hub.doc").alias("q"))
-        pairs = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-        links = cut(links.unionByName(_confirmed(_estimated(pairs, classes, like), sets, like)))
-        if turn == HUB_ROUNDS or left <= PAIRS_A_ROW * rows:
-            break
-    return links
+        some = open_lists if turn == 0 else open_lists.where("root <> largest")
+        hub = near(cut(some.groupBy("v").agg(F.max_by(F.struct("doc", "n", "root"), F.struct("weight", "doc")).alias("hub"))))
+        met = open_lists.join(hub, "v").where((F.col("root") != F.col("hub.root")) & like.sizes(F.col("n"), F.col("hub.n")))
+        met = met.select(F.least(F.col("doc"), F.col("hub.doc")).alias("a"), F.greatest(F.col("doc"), F.col("hub.doc")).alias("b")).distinct()
+        links = cut(links.unionByName(_confirmed(_estimated(near(cut(met)), classes, like), sets, like)))
+    placed, open_lists = _open_lists(lists, links, near)
+    if open_lists is None:
+        return links
+    full = near(cut(open_lists.join(sets, "doc").select("v", "doc", "root", "largest", "shingles", "values")))
+    some = full.where("root <> largest").select("v", F.col("doc").alias("p"), F.col("root").alias("rp"), F.col("shingles").alias("xp"), F.col("values").alias("vp"))
+    other = full.select(F.col("v").alias("u"), F.col("doc").alias("q"), F.col("root").alias("rq"), "largest", F.col("shingles").alias("xq"), F.col("values").alias("vq"))
+    some, other = some.repartition("v"), other.repartition("u")
+    once = (F.col("rq") == F.col("largest")) | (F.col("p") < F.col("q"))
+    sized = like.sizes(F.size("xp"), F.size("xq"))
+    smallest = F.array_min(F.array_intersect("vp", "vq")) == F.col("v")
+    linked = like.linked(F.size(F.array_intersect("xp", "xq")), F.size("xp"), F.size("xq"))
+    condition = F.when(once & (F.col("rp") != F.col("rq")) & sized, F.when(smallest, linked).otherwise(False)).otherwise(False)
+    met = some.join(other, (F.col("v") == F.col("u")) & condition)
+    return links.unionByName(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
+def _open_lists(lists: DataFrame, links: DataFrame, near):
+    """(lists with the root of each class, the rows of lists in which several components are left, with the
+    largest one of their list); None for these where there are none."""
+    placed = near(cut(_with_roots(lists, links, near)))
+    parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("v").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    several = near(cut(parts.where("parts > 1").select("v", "largest")))
+    return placed, None if several.isEmpty() else placed.join(several, "v")
 
 
 def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
