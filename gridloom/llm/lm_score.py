@@ -6,14 +6,16 @@ with weights that are gated by the bit's place and by how often each context was
 refined by an adaptive probability map. A text's bits, and an end mark, give its log10 probability and its
 bits per byte; next to it stands a word unigram score from counts over the whole corpus.
 
-Counts cover all training documents (crc32 of doc_id mod 7 is not 2). The tables of the predictors have a
-fixed number of rows, so what reaches the driver and is broadcast is bounded by ``MOST_SLOTS`` however
-large the corpus is. Weights and map are learned in one online pass over a bounded sample of training
-documents (``SAMPLE_DOCS`` of at most ``SAMPLE_BYTES`` each), every bit being predicted from counts without
-its own byte. Scoring then uses frozen tables: a text's score depends on nothing but its bytes.
+Counts cover all training documents (crc32 of doc_id mod 7 is not 2). Every context has a row of its own:
+the table is distributed and grows with the distinct contexts of the corpus. Each block of about
+``BLOCK_BYTES`` of text names its distinct slots (a context and the byte after it) with their training
+counts; shards of the table add them up, and send back to each block the exact sums on its slots' paths.
+Weights and map are learned in one online pass over a bounded sample of training documents (``SAMPLE_DOCS``
+of at most ``SAMPLE_BYTES`` each), every bit being predicted from counts without its own byte. Scoring then
+uses frozen tables: a text's score depends on nothing but its bytes.
 
-Word counts never meet in one place either: each block of about ``BLOCK_BYTES`` of text names its distinct
-words, the counts of those words are summed per word and sent back to the blocks that asked.
+Word counts never meet in one place either: each block names its distinct words, the counts of those words
+are summed per word and sent back to the blocks that asked.
 
 Cases: a null text counts as empty; an empty text has one token, the end. Rows that repeat are scored, and
 counted in training, each on their own; a null doc_id counts as empty text in the fold. Without training
@@ -39,13 +41,11 @@ from gridloom.llm.common import _powers as powers
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 1 << 19
-ROW_BITS = (8, 12, 14, 15, 15)  # rows of each predictor's table: contexts of 1, 2, 3, 4 bytes, word so far
-ORDERS = len(ROW_BITS)
-FIRST_ROW = np.concatenate([[0], np.cumsum([1 << b for b in ROW_BITS])])
-MOST_SLOTS = int(FIRST_ROW[-1]) * 256
+ORDERS = 5  # contexts of 1, 2, 3, 4 bytes, word so far
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 8_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-SEEN = (1, 2, 4, 16, 256)  # edges of the gate: times that a context was seen
+SEEN = (1, 2, 4, 16, 256, 1 << 12, 1 << 16, 1 << 20, 1 << 24)  # edges of the gate: times that a context was seen; powers of 2
+GATE = np.array([sum(1 << e >> 1 >= edge for edge in SEEN) for e in range(65)], dtype=np.uint8)  # by a count's bit length
 PRIOR = 0.05
 MAP_CELLS, MAP_REACH = 33, 8.0
 STEP = 4096  # bits that are learned from at once
@@ -83,10 +83,9 @@ class Contexts:
         begin[1:] = np.maximum(begin[1:], np.where(space[:-1], np.arange(1, size + n), 0))
         begin = np.maximum.accumulate(begin) if size + n else begin
         word = (sums[:-1] - sums[begin]) * down[begin] if size + n else sums[:-1]
-        self.rows = [before[0].astype(np.int32)]
-        for k in range(1, ORDERS):
-            hashed = (joined[k] if k < 4 else word) * _SPREAD
-            self.rows.append((hashed >> np.uint64(64 - ROW_BITS[k])).astype(np.int32) + np.int32(FIRST_ROW[k]))
+        # rows of 1 to 4 bytes are those bytes themselves; the word so far has 54 bits of its hash
+        self.rows = [(joined[k] | np.uint64(k << 32)).astype(np.int64) for k in range(4)]
+        self.rows.append((mix64(word) >> np.uint64(10) | np.uint64(1 << 54)).astype(np.int64))
         self.key = mix64(word * _SPREAD + (joined[3] << np.uint64(8) | data) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # never 0
 
 
@@ -132,54 +131,83 @@ class Mixer:
 
 
 class Predictors:
-    """Dense tables from the counted slots (row * 256 + byte): running sums within each row. Rows with
-    more counts than 16 bits hold are scaled down, so that the tables take 2 * 257 bytes a row."""
+    """Counted slots (row * 256 + byte) of any rows, exact and sparse. A slot's path has 9 sums: the counts of
+    its row, and of the half, quarter ... of the row's bytes that its own byte lies in."""
 
     def __init__(self, slots: np.ndarray, counts: np.ndarray):
-        row = slots >> 8
-        total = np.bincount(row, counts, int(FIRST_ROW[-1]))
-        scale = np.minimum(1.0, 60_000 / np.maximum(total, 1))
-        scaled = np.maximum(counts * scale[row], 1).astype(np.uint16)
-        self.sums = np.zeros((int(FIRST_ROW[-1]), 257), dtype=np.uint16)
-        self.sums.reshape(-1)[slots + row + 1] = scaled
-        np.cumsum(self.sums, axis=1, dtype=np.uint16, out=self.sums)
+        self.slots, counts = _merged([(slots, counts)])
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+
+    def paths(self, asked: np.ndarray) -> np.ndarray:
+        """9 x the shape of asked."""
+        sums = []
+        for j in range(9):
+            begin = asked >> (8 - j) << (8 - j)
+            low, high = np.searchsorted(self.slots, begin), np.searchsorted(self.slots, begin + (256 >> j))
+            sums.append(self.before[high] - self.before[low])
+        return np.stack(sums)
 
     def bits(self, rows: list[np.ndarray], byte: np.ndarray, own: int):
         """For each of the 8 bits: its place, the bits, logits and gates (predictors x bytes). own: times
         that each byte itself was counted, to be left out."""
         byte = byte.astype(np.int32)
-        home = np.stack(rows) * np.int32(257)
-        sums = self.sums.reshape(-1)
-        low, high = np.zeros(home.shape, np.float32), sums[home + 256].astype(np.float32)
-        start = np.zeros_like(byte)
+        sums = self.paths(np.stack(rows) << 8 | byte)
         for j in range(8):
-            middle = sums[home + (start + (128 >> j))].astype(np.float32)
             bit = byte >> (7 - j) & 1
-            zeros, ones = middle - low, high - middle
+            other = (sums[j] - sums[j + 1]).astype(np.float32)
+            taken = sums[j + 1].astype(np.float32)
             if own:
-                zeros = np.maximum(zeros - own * (1 - bit), 0)
-                ones = np.maximum(ones - own * bit, 0)
-            total = zeros + ones
-            gates = np.zeros(home.shape, np.uint8)
-            for edge in SEEN:
-                gates += total >= edge
-            yield j, bit, np.log((ones + PRIOR) / (zeros + PRIOR)), gates
-            one = bit == 1
-            low, high = np.where(one, middle, low), np.where(one, high, middle)
-            start += bit * (128 >> j)
+                taken = np.maximum(taken - own, 0)
+            gates = GATE[np.frexp(taken + other)[1]]
+            yield j, bit, np.log((taken + PRIOR) / (other + PRIOR)) * (2 * bit - 1).astype(np.float32), gates
+
+
+class Answers(Predictors):
+    """The paths of a block's own slots, as the shards sent them."""
+
+    def __init__(self, slots: np.ndarray, sums: np.ndarray):
+        order = np.argsort(slots)
+        self.slots, self.sums = slots[order], sums[:, order]
+
+    def paths(self, asked: np.ndarray) -> np.ndarray:
+        return self.sums[:, np.searchsorted(self.slots, asked)]
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots in order, with their counts added up."""
+    slots, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(slots)
+    slots = slots[order]
+    first = _firsts(slots)
+    return slots[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def path_sums(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The paths of distinct ordered slots that hold all counts of their rows."""
+    sums = []
+    for j in range(9):
+        first = _firsts(slots >> (8 - j))
+        sums.append(np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(slots)))))
+    return np.stack(sums)
 
 
 @dataclass
 class Scorer:
-    """Predictors and mixer, frozen; keeps the scores of recent pairs of contexts and byte."""
+    """Predictors and mixer, frozen; keeps the scores of recent pairs of contexts and byte. Without slots,
+    each block sets the predictors from its own answers."""
 
-    slots: np.ndarray
-    counts: np.ndarray
+    slots: np.ndarray | None
+    counts: np.ndarray | None
     mixer: Mixer
 
     def ready(self) -> Scorer:
-        self.predictors = Predictors(self.slots, self.counts)
-        self.slots = self.counts = None
+        if self.slots is not None:
+            self.predictors = Predictors(self.slots, self.counts)
         self.kept_key = np.zeros(1 << KEPT_BITS, dtype=np.uint64)
         self.kept = np.zeros(1 << KEPT_BITS)
         return self
@@ -205,8 +233,12 @@ class Scorer:
 
 
 def train_mixer(sample: list[str], slots: np.ndarray, counts: np.ndarray, counted: bool = True) -> Mixer:
+    return learn_all(sample, Predictors(slots, counts), counted)
+
+
+def learn_all(sample: list[str], predictors: Predictors, counted: bool = True) -> Mixer:
     """One online pass over the sample's bits in order."""
-    mixer, predictors = Mixer.new(), Predictors(slots, counts)
+    mixer = Mixer.new()
     found = Contexts(Texts(pa.array(sample, pa.string()), lower=True))
     bytes_a_step = STEP // 8
     for n, a in enumerate(range(0, len(found.data), bytes_a_step)):
@@ -228,28 +260,58 @@ def _blocks(part: pa.RecordBatch, sizes: dict[int, int]) -> np.ndarray:
 
 
 WORDS, SLOTS, DOCS = 0, 1, 2  # kinds of counts
-CHUNK = 1 << 16  # slots that travel together
 ROWS_OUT = 1 << 16
-TABLE_PARTS = 32  # each holds a fixed share of the tables
+LEAST_SHARDS, MOST_SHARDS = 8, 1 << 16
+
 
+def _packed(slots: np.ndarray, values: np.ndarray) -> bytes:
+    """Ordered slots and rows of values of theirs, in the narrowest type that holds them."""
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([values.itemsize]) + zlib.compress(np.diff(slots, prepend=0).tobytes() + values.tobytes(), 1)
 
-def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype(np.int64).tobytes(), 1)
 
+def _unpacked(data: bytes, height: int) -> tuple[np.ndarray, np.ndarray]:
+    size, raw = data[0], zlib.decompress(data[1:])
+    n = len(raw) // (8 + height * size)
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, f"u{size}", offset=8 * n).reshape(height, n)
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
 
+def _by_shard(slots: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """The slots of each shard, packed; a context's slots share a shard."""
+    shard = (mix64((slots >> 8).astype(np.uint64) * _SPREAD) % np.uint64(shards)).astype(np.uint16)
+    order = np.argsort(shard, kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=shards))
+    for k, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends, strict=True)):
+        if b > a:
+            yield k, _packed(slots[order[a:b]], counts[order[a:b]])
 
-def _count(rows: DataFrame) -> DataFrame:
+
+def _slots_of(found: Contexts, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct slots of some texts and how often the learned bytes count them; slots of bytes that are not
+    learned have count 0."""
+    parts = []
+    for rows in found.rows:
+        slots = rows << 8 | found.data
+        for chosen, counted in ((learned, 1), (~learned, 0)):
+            own = np.sort(slots[chosen])
+            first = _firsts(own)
+            parts.append((own[first], np.diff(np.append(first, len(own))) * counted))
+    return parts
+
+
+def _count(rows: DataFrame, shards: int) -> DataFrame:
     """From rid, text, train: (kind, block, key, n, data). WORDS: the distinct words of a block and their
-    training count; SLOTS: chunk ``key`` of the predictors' tables; DOCS: number of training documents."""
+    training count; SLOTS: those distinct slots of a block that are in shard ``key``, and their training
+    counts; DOCS: number of training documents."""
     names = ["kind", "block", "key", "n", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: dict[int, int] = {}
         words: list[tuple[np.ndarray, np.ndarray]] = []
-        now, slots, docs = -1, [np.zeros((1 << b) * 256, dtype=np.int32) for b in ROW_BITS], 0
+        slots: list[tuple[np.ndarray, np.ndarray]] = []
+        now, docs = -1, 0
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, n = np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words])
@@ -260,6 +322,10 @@ def _count(rows: DataFrame) -> DataFrame:
                 k = key[a : a + ROWS_OUT]
                 columns = [pa.array(np.full(len(k), WORDS, np.int32)), pa.array(np.full(len(k), now, np.int64)), pa.array(k), pa.array(n[a : a + ROWS_OUT]), pa.nulls(len(k), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            asked, counts = _merged(slots)
+            slots.clear()
+            for shard, data in _by_shard(asked, counts, shards):
+                yield of([(SLOTS, now, shard, 0, data)])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -268,7 +334,7 @@ def _count(rows: DataFrame) -> DataFrame:
                 for block in np.unique(blocks):
                     chosen = np.flatnonzero(blocks == block)
                     own = part.slice(int(chosen[0]), len(chosen))
-                    if block != now and words:
+                    if block != now and slots:
                         yield from flush()
                     now = int(block)
                     texts = Texts(own.column(1), lower=True)
@@ -277,38 +343,32 @@ def _count(rows: DataFrame) -> DataFrame:
                     known = np.repeat(train[chosen], np.diff(first))
                     key, place = np.unique(hashes, return_inverse=True)
                     words.append((key, np.bincount(place, known, len(key)).astype(np.int64)))
-                learned = part.filter(pa.array(train))
-                docs += learned.num_rows
-                if learned.num_rows:
-                    found = Contexts(Texts(learned.column(1), lower=True))
-                    for k in range(ORDERS):
-                        np.add.at(slots[k], ((found.rows[k] - np.int32(FIRST_ROW[k])) << np.int32(8)) + found.data, np.int32(1))
-        if words:
+                    found = Contexts(texts)
+                    slots.extend(_slots_of(found, np.repeat(train[chosen], np.diff(found.first))))
+                docs += int(train.sum())
+        if slots:
             yield from flush()
-        tail = [(DOCS, -1, 0, docs, None)]
-        for k in range(ORDERS):
-            for a in range(0, len(slots[k]), CHUNK):
-                if slots[k][a : a + CHUNK].any():
-                    tail.append((SLOTS, -1, (int(FIRST_ROW[k]) * 256 + a) // CHUNK, 0, _packed(slots[k][a : a + CHUNK])))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tail, strict=True), types, strict=True)], names=names)
+        yield of([(DOCS, -1, 0, docs, None)])
 
     return rows.mapInArrow(run, "kind int, block bigint, key bigint, n bigint, data binary")
 
 
-def _summed(chunks: DataFrame) -> DataFrame:
-    """From key, data: key, data summed over all rows of a key, one row at a time."""
+def _answered(asked: DataFrame) -> DataFrame:
+    """From key (a shard), block, data (slots and counts): block, data (the same slots and their paths)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _unpacked(data)
-                total[key] = total[key] + own if key in total else own
-        for key, values in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(values)], pa.binary())], names=["key", "data"])
+    def run(shard: pa.Table) -> pa.Table:
+        blocks = [_unpacked(d, 1) for d in shard.column("data").to_pylist()]
+        slots, counts = _merged([(own, values[0]) for own, values in blocks])
+        sums = path_sums(slots, counts)
+        data = [_packed(own, sums[:, np.searchsorted(slots, own)]) for own, _ in blocks]
+        return pa.table({"block": shard.column("block"), "data": pa.array(data, pa.binary())})
+
+    return asked.select("key", "block", "data").groupBy("key").applyInArrow(run, "block bigint, data binary")
 
-    return chunks.repartition(TABLE_PARTS, "key").mapInArrow(run, "key bigint, data binary")
+
+def _answers(data: list[bytes]) -> Answers:
+    parts = [_unpacked(d, 9) for d in data]
+    return Answers(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1))
 
 
 def _place(rows: DataFrame) -> DataFrame:
@@ -326,29 +386,26 @@ def _place(rows: DataFrame) -> DataFrame:
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
-def _slots(table: list) -> tuple[np.ndarray, np.ndarray]:
-    slots, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for key, data in sorted(table):
-        values = _unpacked(bytes(data))
-        at = np.flatnonzero(values)
-        slots.append(at + key * CHUNK)
-        counts.append(values[at])
-    return np.concatenate(slots), np.concatenate(counts)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: the columns of OUT."""
     spark = docs.sparkSession
     held_out = crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid").select("rid", "text", "doc_id", held_out.alias("held_out"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shards = min(max(LEAST_SHARDS, size // BLOCK_BYTES), MOST_SHARDS)
     with small_batches(spark):
-        counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train"))))
+        counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train")), shards))
 
-    table = _summed(counted.where(F.col("kind") == SLOTS).select("key", "data")).collect()
-    slots, counts = _slots(table)
     short = rows.where(~F.col("held_out") & (F.octet_length("text").between(1, SAMPLE_BYTES)))
     sample = [r[0] for r in short.orderBy(F.xxhash64("doc_id", "text"), "text").select("text").limit(SAMPLE_DOCS).collect()]
-    scorer = spark.sparkContext.broadcast(Scorer(slots.astype(np.int32), counts, train_mixer(sample, slots, counts)))
+    asked = counted.where(F.col("kind") == SLOTS).select("key", "block", "data")
+    if sample:  # the sample asks as block -1
+        found = Contexts(Texts(pa.array(sample, pa.string()), lower=True))
+        own = _by_shard(*_merged(_slots_of(found, np.zeros(len(found.data), bool))), shards)
+        asked = asked.unionByName(spark.createDataFrame([(k, -1, bytearray(d)) for k, d in own], "key bigint, block bigint, data binary"))
+    answers = cut(_answered(asked))
+    mixer = learn_all(sample, _answers([bytes(r[0]) for r in answers.where("block = -1").select("data").collect()])) if sample else Mixer.new()
+    scorer = spark.sparkContext.broadcast(Scorer(None, None, mixer))
 
     same = W.partitionBy("key")
     words = counted.where(F.col("kind") == WORDS).select(
@@ -361,6 +418,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def of_block(texts: pa.Table, known: pa.Table) -> pa.Table:
         ready = _ready(scorer)
+        ready.predictors = _answers(known.filter(pc.is_valid(known.column("data"))).column("data").to_pylist())
+        known = known.filter(pc.is_valid(known.column("key")))
         key, n = np.asarray(known.column("key").combine_chunks()), np.asarray(known.column("n").combine_chunks())
         order = np.argsort(key)
         key, n = key[order], n[order]
@@ -385,7 +444,9 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches(parts, schema=empty)
 
     placed = _place(rows).select("block", "doc_id", "text", "held_out")
-    return placed.groupBy("block").cogroup(words.select("block", "key", "n").groupBy("block")).applyInArrow(of_block, OUT)
+    none = F.lit(None)
+    known = words.select("block", "key", "n", none.cast("binary").alias("data")).unionByName(answers.where("block >= 0").select("block", none.cast("bigint").alias("key"), none.cast("bigint").alias("n"), "data"))
+    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(of_block, OUT)
 
 
 _scorers: dict[int, Scorer] = {}

@@ -402,3 +402,20 @@ def test_lm_probabilities_sum_to_one():
     scorer = lm_score.Scorer(slots, counts, mixer).ready()
     own = scorer.score(Texts(pa.array(["the cat sat on the log", "zqxj vvkw ppq wwz xx"]), lower=True))
     assert own[0] > own[1] and np.allclose(own, scorer.score(Texts(pa.array(["the cat sat on the log", "zqxj vvkw ppq wwz xx"]), lower=True)))
+
+
+def test_lm_contexts_have_rows_of_their_own():
+    """Rows and exact counts grow with the distinct contexts: more of them than the fixed tables once held."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4000)) for _ in range(40)]
+    found = lm_score.Contexts(Texts(pa.array(texts), lower=True))
+    contexts = {t[max(0, i - 4) : i] for t in texts for i in range(len(t) + 1)}
+    assert len(np.unique(found.rows[3])) == len(contexts) > 100_000
+    assert len(np.unique(found.rows[4])) == len({t[:i] for t in texts for i in range(len(t) + 1)}) > 100_000
+    slots, counts = lm_score._merged(lm_score._slots_of(found, np.ones(len(found.data), bool)))
+    counts[0] = 10**7
+    asked = slots[::7]
+    paths = lm_score.Predictors(slots, counts).paths(asked)
+    assert (lm_score.path_sums(slots, counts)[:, ::7] == paths).all() and paths[8, 0] == 10**7
+    back = lm_score._answers([lm_score._packed(asked[k::3], paths[:, k::3]) for k in range(3)])
+    assert (back.paths(asked) == paths).all()
