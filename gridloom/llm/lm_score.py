@@ -10,12 +10,10 @@ Counts cover all training documents (crc32 of doc_id mod 7 is not 2). Every cont
 the table is distributed and grows with the distinct contexts of the corpus. Each block of about
 ``BLOCK_BYTES`` of text names its distinct slots (a context and the byte after it) with their training
 counts; shards of the table add them up, and send back to each block the exact sums on its slots' paths.
-Weights and map are learned in one online pass over a bounded sample of training documents (``SAMPLE_DOCS``
-of at most ``SAMPLE_BYTES`` each), every bit being predicted from counts without its own byte. Scoring then
-uses frozen tables: a text's score depends on nothing but its bytes.
-
-Word counts never meet in one place either: each block names its distinct words, the counts of those words
-are summed per word and sent back to the blocks that asked.
+Distinct words are slots of the same table. Weights and map are learned over all training texts, whole: each
+block makes one online pass over its own, every bit being predicted from counts without its own byte, and
+blocks are averaged, each weight and cell by the bits that it saw. Within a pass, equal pairs of contexts and
+byte are learned from once, with the number of their occurrences as weight, in hashed order. Scoring then uses frozen tables: a text's score depends on nothing but its bytes.
 
 Cases: a null text counts as empty; an empty text has one token, the end. Rows that repeat are scored, and
 counted in training, each on their own; a null doc_id counts as empty text in the fold. Without training
@@ -25,30 +23,30 @@ documents all counts are 0. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, Texts, crc_mod, cut, keyed, mix64, range_hashes, slices, small_batches
+from gridloom.llm.common import SPACE, Texts, crc_mod, cut, keyed, mix64, slices, small_batches
 from gridloom.llm.common import _powers as powers
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
 ORDERS = 5  # contexts of 1, 2, 3, 4 bytes, word so far
-SAMPLE_DOCS, SAMPLE_BYTES = 300, 8_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SEEN = (1, 2, 4, 16, 256, 1 << 12, 1 << 16, 1 << 20, 1 << 24)  # edges of the gate: times that a context was seen; powers of 2
 GATE = np.array([sum(1 << e >> 1 >= edge for edge in SEEN) for e in range(65)], dtype=np.uint8)  # by a count's bit length
 PRIOR = 0.05
+RATE = 1.0
 MAP_CELLS, MAP_REACH = 33, 8.0
 STEP = 4096  # bits that are learned from at once
+PAIRS_HELD = 500_000  # pairs of contexts and byte after which equal ones are joined
 LEAST_P = 1 / 4096
 KEPT_BITS = 21  # scores of recent (context, byte) pairs that a worker keeps
 
@@ -64,6 +62,8 @@ class Contexts:
         at = np.arange(size) + np.repeat(np.arange(n), lengths)
         data = np.zeros(size + n, dtype=np.uint8)
         data[at] = np.maximum(texts.data, 1)
+        plain = np.zeros(size + n, dtype=np.uint64)
+        plain[at] = texts.data
         place = np.arange(size + n) - np.repeat(self.first[:-1], lengths + 1)
         self.data = data
         before = []
@@ -77,29 +77,52 @@ class Contexts:
             joined.append(joined[-1] << np.uint64(8) | b)
         up, down = powers(size + n)
         sums = np.zeros(size + n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: size + n], out=sums[1:])
+        np.cumsum((plain + np.uint64(1)) * up[: size + n], out=sums[1:])
         space = SPACE[data]
         begin = np.where(place == 0, np.arange(size + n), 0)
         begin[1:] = np.maximum(begin[1:], np.where(space[:-1], np.arange(1, size + n), 0))
         begin = np.maximum.accumulate(begin) if size + n else begin
         word = (sums[:-1] - sums[begin]) * down[begin] if size + n else sums[:-1]
-        # rows of 1 to 4 bytes are those bytes themselves; the word so far has 54 bits of its hash
+        # rows of 1 to 4 bytes are those bytes themselves; the word so far has 48 bits of its hash
         self.rows = [(joined[k] | np.uint64(k << 32)).astype(np.int64) for k in range(4)]
-        self.rows.append((mix64(word) >> np.uint64(10) | np.uint64(1 << 54)).astype(np.int64))
+        self.rows.append((mix64(word) >> np.uint64(16) << np.uint64(1) | np.uint64(1 << 49)).astype(np.int64))
+        self.words = np.flatnonzero((space | (data == 0)) & (begin < np.arange(size + n)))  # where a word has ended
         self.key = mix64(word * _SPREAD + (joined[3] << np.uint64(8) | data) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)  # never 0
 
 
 @dataclass
 class Mixer:
-    """weight[bit place, predictor, gate]; table[bit place, gate of the 4-byte context, cell]."""
+    """weight[bit place, predictor, gate]; table[bit place, gate of the 4-byte context, cell]; and the bits
+    that each of these has learned from."""
 
     weight: np.ndarray
     table: np.ndarray
+    seen: np.ndarray
+    hits: np.ndarray
+    curve: np.ndarray
 
     @staticmethod
     def new() -> Mixer:
         cells = 1 / (1 + np.exp(-np.linspace(-MAP_REACH, MAP_REACH, MAP_CELLS)))
-        return Mixer(np.full((8, ORDERS, len(SEEN) + 1), 0.3), np.tile(cells, (8, len(SEEN) + 1, 1)))
+        weight, table = np.full((8, ORDERS, len(SEEN) + 1), 0.3), np.tile(cells, (8, len(SEEN) + 1, 1))
+        return Mixer(weight, table, np.zeros(weight.shape), np.zeros(table.shape), np.zeros(weight.shape))
+
+    def packed(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.weight, self.table, self.seen, self.hits))
+
+    @staticmethod
+    def mean(blocks: Iterable[bytes]) -> Mixer:
+        """The mean of packed mixers by bits seen; what no block has seen stays as it began."""
+        new = Mixer.new()
+        shapes = [new.weight.shape, new.table.shape]
+        edges = np.cumsum([x.size for x in (new.weight, new.table, new.seen, new.hits)])[:-1]
+        sums = [np.zeros(shape) for shape in (*shapes, *shapes)]
+        for data in blocks:
+            weight, table, seen, hits = (x.reshape(t.shape) for x, t in zip(np.split(np.frombuffer(data), edges), sums, strict=True))
+            for t, x in zip(sums, (weight * seen, table * hits, seen, hits), strict=True):
+                t += x
+        weight, table = (np.where(n > 0, total / np.maximum(n, 1e-9), first) for total, n, first in ((sums[0], sums[2], new.weight), (sums[1], sums[3], new.table)))
+        return Mixer(weight, table, sums[2], sums[3], new.curve)
 
     def predict(self, place: np.ndarray, logits: np.ndarray, gates: np.ndarray):
         """Probability of a 1, and what learning needs. logits, gates: predictors x bits."""
@@ -114,20 +137,24 @@ class Mixer:
         refined = self.table[place, gate, cell] * (1 - part) + self.table[place, gate, cell + 1] * part
         return np.clip((mixed + refined) / 2, LEAST_P, 1 - LEAST_P), mixed, (gate, cell, part)
 
-    def learn(self, place: np.ndarray, logits: np.ndarray, gates: np.ndarray, bits: np.ndarray, rate: float) -> None:
+    def learn(self, place: np.ndarray, logits: np.ndarray, gates: np.ndarray, bits: np.ndarray, times: np.ndarray) -> None:
+        """times: how often each bit occurs. Weights take a damped step over the curvature of all bits so far,
+        and cells are means, so that every occurrence counts alike wherever in the pass it stands."""
         _, mixed, (gate, cell, part) = self.predict(place, logits, gates)
-        error = bits - mixed
+        error = (bits - mixed) * times
+        size = np.abs(logits)
+        bend = times * np.maximum(mixed * (1 - mixed), 1e-3) * size.sum(axis=0)
+        n = 8 * (len(SEEN) + 1)
         for k in range(ORDERS):
             slot = place * (len(SEEN) + 1) + gates[k]
-            n = 8 * (len(SEEN) + 1)
-            push = np.bincount(slot, error * logits[k], n) / (np.bincount(slot, minlength=n) + 32)
-            self.weight[:, k, :] += rate * push.reshape(8, -1)
-        width = MAP_CELLS
-        slot = (place * (len(SEEN) + 1) + gate) * width + cell
-        flat, n = self.table.reshape(-1), self.table.size
-        for to, share in ((slot, 1 - part), (slot + 1, part)):
-            off = np.bincount(to, share * (bits - flat[to]), n) / (np.bincount(to, share, n) + 50)
-            flat += off
+            self.curve[:, k, :] += np.bincount(slot, bend * size[k], n).reshape(8, -1)
+            self.weight[:, k, :] += RATE * np.bincount(slot, error * logits[k], n).reshape(8, -1) / (self.curve[:, k, :] + 32)
+            self.seen[:, k, :] += np.bincount(slot, times, n).reshape(8, -1)
+        slot = (place * (len(SEEN) + 1) + gate) * MAP_CELLS + cell
+        flat, hits = self.table.reshape(-1), self.hits.reshape(-1)
+        for to, share in ((slot, (1 - part) * times), (slot + 1, part * times)):
+            hits += np.bincount(to, share, len(flat))
+            flat += np.bincount(to, share * (bits - flat[to]), len(flat)) / (hits + 50)
 
 
 class Predictors:
@@ -154,20 +181,38 @@ class Predictors:
         sums = self.paths(np.stack(rows) << 8 | byte)
         for j in range(8):
             bit = byte >> (7 - j) & 1
-            other = (sums[j] - sums[j + 1]).astype(np.float32)
-            taken = sums[j + 1].astype(np.float32)
-            if own:
-                taken = np.maximum(taken - own, 0)
-            gates = GATE[np.frexp(taken + other)[1]]
-            yield j, bit, np.log((taken + PRIOR) / (other + PRIOR)) * (2 * bit - 1).astype(np.float32), gates
+            yield j, bit, *_evidence(sums[j], sums[j + 1], bit, own)
+
+
+def _evidence(total: np.ndarray, taken: np.ndarray, bit: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and gates of bits, from the counts before and after each."""
+    other, taken = (total - taken).astype(np.float32), taken.astype(np.float32)
+    if own:
+        taken = np.maximum(taken - np.float32(own), 0)
+    return np.log((taken + np.float32(PRIOR)) / (other + np.float32(PRIOR))) * (2 * bit - 1).astype(np.float32), GATE[np.frexp(taken + other)[1]]
 
 
 class Answers(Predictors):
-    """The paths of a block's own slots, as the shards sent them."""
+    """The paths of a block's own slots, as the shards sent them. Logits and gates are worked out once a slot."""
 
     def __init__(self, slots: np.ndarray, sums: np.ndarray):
-        order = np.argsort(slots)
-        self.slots, self.sums = slots[order], sums[:, order]
+        if (slots[1:] < slots[:-1]).any():
+            order = np.argsort(slots)
+            slots, sums = slots[order], sums[:, order]
+        self.slots, self.sums, self.own = slots, sums, None
+
+    def bits(self, rows: list[np.ndarray], byte: np.ndarray, own: int):
+        if own != self.own:
+            self.own, self.logits, self.gates = own, [], []
+            ones = (self.slots & 255).astype(np.int32)
+            for j in range(8):
+                logits, gates = _evidence(self.sums[j], self.sums[j + 1], ones >> (7 - j) & 1, own)
+                self.logits.append(logits)
+                self.gates.append(gates)
+        at = np.searchsorted(self.slots, np.stack(rows) << 8 | byte)
+        byte = byte.astype(np.int32)
+        for j in range(8):
+            yield j, byte >> (7 - j) & 1, self.logits[j][at], self.gates[j][at]
 
     def paths(self, asked: np.ndarray) -> np.ndarray:
         return self.sums[:, np.searchsorted(self.slots, asked)]
@@ -233,20 +278,45 @@ class Scorer:
 
 
 def train_mixer(sample: list[str], slots: np.ndarray, counts: np.ndarray, counted: bool = True) -> Mixer:
-    return learn_all(sample, Predictors(slots, counts), counted)
-
-
-def learn_all(sample: list[str], predictors: Predictors, counted: bool = True) -> Mixer:
-    """One online pass over the sample's bits in order."""
+    """One online pass over the sample's bits."""
+    return learn_all([Texts(pa.array(sample, pa.string()), lower=True)], Predictors(slots, counts), counted)
+
+
+def _pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """From parts of key, times, byte, rows: the same of the distinct keys, in order of the keys. These are
+    hashes, so any step of learning meets frequent and rare pairs alike."""
+    key = np.concatenate([p[0] for p in parts])
+    order = np.argsort(key)
+    first = _firsts(key[order])
+    if not len(first):
+        return parts[0]
+    times = np.add.reduceat(np.concatenate([p[1] for p in parts])[order], first)
+    pick = order[first]
+    return key[pick], times, np.concatenate([p[2] for p in parts])[pick], np.stack([np.concatenate([p[3][k] for p in parts])[pick] for k in range(ORDERS)])
+
+
+def learn_all(texts: Iterable[Texts], predictors: Predictors, counted: bool = True) -> Mixer:
+    """One online pass over the bits of all texts: the distinct pairs of contexts and byte, weighted by
+    occurrences."""
     mixer = Mixer.new()
-    found = Contexts(Texts(pa.array(sample, pa.string()), lower=True))
+    held: list[tuple[np.ndarray, ...]] = []
+    n_held = 0
+    for found in map(Contexts, texts):
+        held.append(_pairs([(found.key, np.ones(len(found.key)), found.data, np.stack(found.rows))]))
+        n_held += len(held[-1][0])
+        if n_held > PAIRS_HELD:
+            held = [_pairs(held)]
+            n_held = 0
+    if not held:
+        return mixer
+    _, n, byte, row = _pairs(held)
     bytes_a_step = STEP // 8
-    for n, a in enumerate(range(0, len(found.data), bytes_a_step)):
+    for a in range(0, len(byte), bytes_a_step):
         to = slice(a, a + bytes_a_step)
-        parts = list(predictors.bits([r[to] for r in found.rows], found.data[to], int(counted)))
+        parts = list(predictors.bits(list(row[:, to]), byte[to], int(counted)))
         place = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
         bits = np.concatenate([p[1] for p in parts])
-        mixer.learn(place, np.concatenate([p[2] for p in parts], axis=1), np.concatenate([p[3] for p in parts], axis=1), bits, 0.2 / (1 + n / 400))
+        mixer.learn(place, np.concatenate([p[2] for p in parts], axis=1), np.concatenate([p[3] for p in parts], axis=1), bits, np.tile(n[to], 8))
     return mixer
 
 
@@ -259,111 +329,112 @@ def _blocks(part: pa.RecordBatch, sizes: dict[int, int]) -> np.ndarray:
     return (home << 24) + before // BLOCK_BYTES
 
 
-WORDS, SLOTS, DOCS = 0, 1, 2  # kinds of counts
-ROWS_OUT = 1 << 16
+WORD_SLOT = 1 << 57 | 1 << 8  # the slot of a whole word has both of these bits: its row is that of its bytes, plus 1
 LEAST_SHARDS, MOST_SHARDS = 8, 1 << 16
 
 
 def _packed(slots: np.ndarray, values: np.ndarray) -> bytes:
-    """Ordered slots and rows of values of theirs, in the narrowest type that holds them."""
+    """Ordered slots and falling rows of values of theirs, as differences in the narrowest type that holds them."""
+    values = np.atleast_2d(values)
+    values = np.concatenate([values[:-1] - values[1:], values[-1:]])
     values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
     return bytes([values.itemsize]) + zlib.compress(np.diff(slots, prepend=0).tobytes() + values.tobytes(), 1)
 
 
-def _unpacked(data: bytes, height: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes, height: int, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """bare: the slots are left out."""
     size, raw = data[0], zlib.decompress(data[1:])
-    n = len(raw) // (8 + height * size)
-    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, f"u{size}", offset=8 * n).reshape(height, n)
+    n = len(raw) // (8 * (not bare) + height * size)
+    values = np.cumsum(np.frombuffer(raw, f"u{size}", offset=0 if bare else 8 * n).reshape(height, n)[::-1], axis=0, dtype=np.int64)[::-1]
+    return np.cumsum(np.frombuffer(raw, np.int64, 0 if bare else n)), values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.int64)
 
 
-def _by_shard(slots: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """The slots of each shard, packed; a context's slots share a shard."""
-    shard = (mix64((slots >> 8).astype(np.uint64) * _SPREAD) % np.uint64(shards)).astype(np.uint16)
+def _by_shard(slots: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has some of the slots, and their places; a context's slots share a shard."""
+    shard = (mix64((slots >> 9).astype(np.uint64) * _SPREAD) % np.uint64(shards)).astype(np.uint16)
     order = np.argsort(shard, kind="stable")
     ends = np.cumsum(np.bincount(shard, minlength=shards))
     for k, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends, strict=True)):
         if b > a:
-            yield k, _packed(slots[order[a:b]], counts[order[a:b]])
+            yield k, order[a:b]
 
 
-def _slots_of(found: Contexts, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct slots of some texts and how often the learned bytes count them; slots of bytes that are not
-    learned have count 0."""
+def _distinct(slots: np.ndarray, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct slots and how often the learned ones occur; the others have count 0."""
     parts = []
-    for rows in found.rows:
-        slots = rows << 8 | found.data
-        for chosen, counted in ((learned, 1), (~learned, 0)):
-            own = np.sort(slots[chosen])
-            first = _firsts(own)
-            parts.append((own[first], np.diff(np.append(first, len(own))) * counted))
+    for chosen, counted in ((learned, 1), (~learned, 0)):
+        own = np.sort(slots[chosen])
+        first = _firsts(own)
+        parts.append((own[first], np.diff(np.append(first, len(own))) * counted))
     return parts
 
 
+def _slots_of(found: Contexts, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct slots of all orders of some texts, with their counts in the learned bytes."""
+    return [part for rows in found.rows for part in _distinct(rows << 8 | found.data, learned)]
+
+
+def _word_slots(found: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each word, and each text's first word."""
+    return found.rows[4][found.words] << 8 | 1 << 8, np.searchsorted(found.words, found.first)
+
+
+def _asked(texts: Texts, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All slots that a block asks for some of its texts, with the counts of those in training."""
+    found = Contexts(texts)
+    words, first = _word_slots(found)
+    return [*_distinct(words, np.repeat(train, np.diff(first))), *_slots_of(found, np.repeat(train, np.diff(found.first)))]
+
+
 def _count(rows: DataFrame, shards: int) -> DataFrame:
-    """From rid, text, train: (kind, block, key, n, data). WORDS: the distinct words of a block and their
-    training count; SLOTS: those distinct slots of a block that are in shard ``key``, and their training
-    counts; DOCS: number of training documents."""
-    names = ["kind", "block", "key", "n", "data"]
+    """From rid, text, doc_id, held_out: (block, key, data). The distinct slots of a block that are in shard
+    ``key``, with their training counts."""
+    names = ["block", "key", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: dict[int, int] = {}
-        words: list[tuple[np.ndarray, np.ndarray]] = []
         slots: list[tuple[np.ndarray, np.ndarray]] = []
-        now, docs = -1, 0
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        now = -1
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words])
-            words.clear()
-            key, place = np.unique(keys, return_inverse=True)
-            n = np.bincount(place, n, len(key)).astype(np.int64)
-            for a in range(0, len(key), ROWS_OUT):
-                k = key[a : a + ROWS_OUT]
-                columns = [pa.array(np.full(len(k), WORDS, np.int32)), pa.array(np.full(len(k), now, np.int64)), pa.array(k), pa.array(n[a : a + ROWS_OUT]), pa.nulls(len(k), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
             asked, counts = _merged(slots)
             slots.clear()
-            for shard, data in _by_shard(asked, counts, shards):
-                yield of([(SLOTS, now, shard, 0, data)])
+            for shard, at in _by_shard(asked, shards):
+                data = _packed(asked[at], counts[at])
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=names)
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 blocks = _blocks(part, sizes)
-                train = np.asarray(part.column(2))
+                train = ~np.asarray(part.column(3))
                 for block in np.unique(blocks):
                     chosen = np.flatnonzero(blocks == block)
                     own = part.slice(int(chosen[0]), len(chosen))
                     if block != now and slots:
                         yield from flush()
                     now = int(block)
-                    texts = Texts(own.column(1), lower=True)
-                    starts, ends, first = texts.words()
-                    hashes = range_hashes(texts.data, starts, ends).astype(np.int64)
-                    known = np.repeat(train[chosen], np.diff(first))
-                    key, place = np.unique(hashes, return_inverse=True)
-                    words.append((key, np.bincount(place, known, len(key)).astype(np.int64)))
-                    found = Contexts(texts)
-                    slots.extend(_slots_of(found, np.repeat(train[chosen], np.diff(found.first))))
-                docs += int(train.sum())
+                    slots.extend(_asked(Texts(own.column(1), lower=True), train[chosen]))
         if slots:
             yield from flush()
-        yield of([(DOCS, -1, 0, docs, None)])
 
-    return rows.mapInArrow(run, "kind int, block bigint, key bigint, n bigint, data binary")
+    return rows.mapInArrow(run, "block bigint, key bigint, data binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """From key (a shard), block, data (slots and counts): block, data (the same slots and their paths)."""
+    """From block, key (a shard), data (slots and counts): block, key, data (those slots' paths), and for block -1 the shard's distinct words and their occurrences in training texts."""
 
     def run(shard: pa.Table) -> pa.Table:
         blocks = [_unpacked(d, 1) for d in shard.column("data").to_pylist()]
         slots, counts = _merged([(own, values[0]) for own, values in blocks])
         sums = path_sums(slots, counts)
-        data = [_packed(own, sums[:, np.searchsorted(slots, own)]) for own, _ in blocks]
-        return pa.table({"block": shard.column("block"), "data": pa.array(data, pa.binary())})
+        none = np.zeros(0, np.int64)
+        data = [_packed(none, sums[:, np.searchsorted(slots, own)]) for own, _ in blocks]
+        words = counts[slots & WORD_SLOT == WORD_SLOT]
+        home = [*shard.column("block").to_pylist(), -1]
+        key = [*shard.column("key").to_pylist(), shard.column("key")[0].as_py()]
+        return pa.table({"block": pa.array(home, pa.int64()), "key": pa.array(key, pa.int64()), "data": pa.array([*data, np.array([np.sum(words > 0), words.sum()]).tobytes()], pa.binary())})
 
-    return asked.select("key", "block", "data").groupBy("key").applyInArrow(run, "block bigint, data binary")
+    return asked.select("key", "block", "data").groupBy("key").applyInArrow(run, "block bigint, key bigint, data binary")
 
 
 def _answers(data: list[bytes]) -> Answers:
@@ -371,16 +442,69 @@ def _answers(data: list[bytes]) -> Answers:
     return Answers(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1))
 
 
+def _matched(texts: Iterable[Texts], data: list[bytes], shards: int) -> Answers:
+    """Answers of all shards, in order, to the slots that the texts of a block ask for."""
+    held = []
+    for t in texts:
+        held.extend(part for part, _ in _asked(t, np.ones(t.n, bool)))
+    slots = np.sort(np.concatenate(held))
+    slots = slots[_firsts(slots)]
+    sums = None
+    for (_, at), d in zip(_by_shard(slots, shards), data, strict=True):
+        values = _unpacked(d, 9, bare=True)[1]
+        if sums is None or values.dtype.itemsize > sums.dtype.itemsize:
+            sums = np.zeros((9, len(slots)), values.dtype) if sums is None else sums.astype(values.dtype)
+        sums[:, at] = values
+    return Answers(slots, sums)
+
+
+PLACED = ["text", "doc_id", "held_out"]
+
+
 def _place(rows: DataFrame) -> DataFrame:
-    """rid, text, doc_id, held_out with the block that _count gave each row."""
+    """block, place, data: the texts, ids and folds of the block that _count gave each row, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: dict[int, int] = {}
+        place = 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_blocks(part, sizes))], names=[*part.schema.names, "block"])
+                blocks = _blocks(part, sizes)
+                for block in np.unique(blocks):
+                    chosen = np.flatnonzero(blocks == block)
+                    own = part.slice(int(chosen[0]), len(chosen)).select(PLACED)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(own)
+                    place += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([int(block)]), pa.array([place]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "place", "data"])
+
+    return rows.mapInArrow(run, "block bigint, place bigint, data binary")
+
 
-    return rows.mapInArrow(run, "rid bigint, text string, doc_id bigint, held_out boolean, block bigint")
+def _parts(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for data in texts:
+        yield from pa.ipc.open_stream(data)
+
+
+def _learned(placed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
+    """Of each block: block, its texts, its answers, its mixer, training texts. Block -1 has the shards' words."""
+    names = ["block", "texts", "answers", "mixer", "docs"]
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        data = [d for _, d in sorted(zip(answers.column("key").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        own = [d for _, d in sorted(zip(texts.column("place").to_pylist(), texts.column("data").to_pylist(), strict=True))]
+        mixer, docs = b"", 0
+        if own:
+            train = [p.filter(pc.invert(p.column("held_out"))) for p in _parts(own)]
+            docs = sum(p.num_rows for p in train)
+            mixer = learn_all((Texts(p.column("text"), lower=True) for p in train if p.num_rows), _matched((Texts(p.column("text"), lower=True) for p in _parts(own)), data, shards)).packed()
+        block = answers.column("block")[0].as_py()
+        types = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.int64())
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip((block, own, data, mixer, docs), types, strict=True)], names=names)
+
+    schema = "block bigint, texts array<binary>, answers array<binary>, mixer binary, docs bigint"
+    return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
 
 
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
@@ -394,59 +518,39 @@ def score(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = min(max(LEAST_SHARDS, size // BLOCK_BYTES), MOST_SHARDS)
     with small_batches(spark):
-        counted = cut(_count(rows.select("rid", "text", (~F.col("held_out")).alias("train")), shards))
-
-    short = rows.where(~F.col("held_out") & (F.octet_length("text").between(1, SAMPLE_BYTES)))
-    sample = [r[0] for r in short.orderBy(F.xxhash64("doc_id", "text"), "text").select("text").limit(SAMPLE_DOCS).collect()]
-    asked = counted.where(F.col("kind") == SLOTS).select("key", "block", "data")
-    if sample:  # the sample asks as block -1
-        found = Contexts(Texts(pa.array(sample, pa.string()), lower=True))
-        own = _by_shard(*_merged(_slots_of(found, np.zeros(len(found.data), bool))), shards)
-        asked = asked.unionByName(spark.createDataFrame([(k, -1, bytearray(d)) for k, d in own], "key bigint, block bigint, data binary"))
-    answers = cut(_answered(asked))
-    mixer = learn_all(sample, _answers([bytes(r[0]) for r in answers.where("block = -1").select("data").collect()])) if sample else Mixer.new()
-    scorer = spark.sparkContext.broadcast(Scorer(None, None, mixer))
+        blocks = cut(_learned(_place(rows), _answered(_count(rows, shards)), shards))
 
-    same = W.partitionBy("key")
-    words = counted.where(F.col("kind") == WORDS).select(
-        "block", "key", F.sum("n").over(same).alias("n"), F.col("n").alias("own"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
-    )
-    words = cut(words)
-    ends = counted.where(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    total, distinct = words.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count_if(F.col("first") & (F.col("n") > 0))).first()
+    words = [np.frombuffer(bytes(d), np.int64) for r in blocks.where("block = -1").select("answers").collect() for d in r[0]]
+    distinct, total = (int(sum(w[k] for w in words)) for k in (0, 1))
+    blocks = blocks.where("block >= 0")
+    ends = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     total, distinct = total + ends, distinct + (ends > 0)
+    mixer = Mixer.mean(bytes(r[0]) for r in blocks.select("mixer").toLocalIterator())
+    scorer = spark.sparkContext.broadcast(Scorer(None, None, mixer))
+    base = np.log10(1 / (total + distinct + 1))
 
-    def of_block(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = _ready(scorer)
-        ready.predictors = _answers(known.filter(pc.is_valid(known.column("data"))).column("data").to_pylist())
-        known = known.filter(pc.is_valid(known.column("key")))
-        key, n = np.asarray(known.column("key").combine_chunks()), np.asarray(known.column("n").combine_chunks())
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        base = np.log10(1 / (total + distinct + 1))
-        parts = []
-        for batch in texts.combine_chunks().to_batches():
-            for part in slices(batch, "text", SLICE_BYTES):
-                found = Texts(part.column("text"), lower=True)
-                starts, stops, first = found.words()
-                count = n[np.searchsorted(key, range_hashes(found.data, starts, stops).astype(np.int64))] if len(starts) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(found.n), np.diff(first))
-                tokens = np.diff(first) + 1
-                unigram = np.bincount(owner, np.log10(count + 1.0), found.n) + np.log10(ends + 1.0) + tokens * base
-                own = ready.score(found)
-                size = np.diff(found.offsets) + 1
-                columns = (
-                    part.column("doc_id"), part.column("held_out"), pa.array(tokens.astype(np.int64)), pa.array((np.bincount(owner, count > 0, found.n) + (ends > 0)).astype(np.int64)),
-                    pa.array(np.full(found.n, total, np.int64)), pa.array(unigram), pa.array(own), pa.array(-own / np.log10(2.0) / size),
-                )
-                parts.append(pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in OUT.split(", ")]))
-        empty = pa.schema([(c.split()[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in OUT.split(", ")])
-        return pa.Table.from_batches(parts, schema=empty)
-
-    placed = _place(rows).select("block", "doc_id", "text", "held_out")
-    none = F.lit(None)
-    known = words.select("block", "key", "n", none.cast("binary").alias("data")).unionByName(answers.where("block >= 0").select("block", none.cast("bigint").alias("key"), none.cast("bigint").alias("n"), "data"))
-    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(of_block, OUT)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts = batch.column(0)[row].as_py()
+                ready.predictors = _matched((Texts(p.column("text"), lower=True) for p in _parts(texts)), batch.column(1)[row].as_py(), shards)
+                for part in _parts(texts):
+                    found = Texts(part.column("text"), lower=True)
+                    words, first = _word_slots(Contexts(found))
+                    count = ready.predictors.paths(words)[8]
+                    owner = np.repeat(np.arange(found.n), np.diff(first))
+                    tokens = np.diff(first) + 1
+                    unigram = np.bincount(owner, np.log10(count + 1.0), found.n) + np.log10(ends + 1.0) + tokens * base
+                    own = ready.score(found)
+                    size = np.diff(found.offsets) + 1
+                    columns = (
+                        part.column("doc_id"), part.column("held_out"), pa.array(tokens.astype(np.int64)), pa.array((np.bincount(owner, count > 0, found.n) + (ends > 0)).astype(np.int64)),
+                        pa.array(np.full(found.n, total, np.int64)), pa.array(unigram), pa.array(own), pa.array(-own / np.log10(2.0) / size),
+                    )
+                    yield pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in OUT.split(", ")])
+
+    return blocks.select("texts", "answers").mapInArrow(run, OUT)
 
 
 _scorers: dict[int, Scorer] = {}

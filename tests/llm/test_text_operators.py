@@ -419,3 +419,18 @@ def test_lm_contexts_have_rows_of_their_own():
     assert (lm_score.path_sums(slots, counts)[:, ::7] == paths).all() and paths[8, 0] == 10**7
     back = lm_score._answers([lm_score._packed(asked[k::3], paths[:, k::3]) for k in range(3)])
     assert (back.paths(asked) == paths).all()
+
+
+def test_lm_learns_from_all_training_text(spark, monkeypatch):
+    """Long texts, and more than a fixed number of texts, teach the mixer with every bit."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["river", "stone", "Meadow", "quiet"], k=rng.choice([3, 2500])))) for i in range(400)]
+    kept, mean = [], lm_score.Mixer.mean
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(lm_score.Mixer, "mean", staticmethod(lambda blocks: kept.append(mean(blocks)) or kept[-1]))
+    found = lm_score.digest(made(spark, rows)).collect()
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(found) == 400 and sum(len(t) > 8000 for t in learned) > 100
+    bits = 8 * sum(len(t) + 1 for t in learned)
+    assert abs(kept[0].seen.sum() - lm_score.ORDERS * bits) < 1 and abs(kept[0].hits.sum() - bits) < 1
+    assert np.mean([r.bits_per_byte for r in found if r.held_out and r.n_tokens > 100]) < 0.6
