@@ -10,7 +10,8 @@ An index list longer than ``LONG`` (a segment that many lines share) makes no pa
 are keyed once more by buckets of letter counts, which an edit changes by one at most, and all letter
 counts must fit before a pair is made.
 
-Lines shorter than ``SHORTEST`` characters are compared for equality only. Rows that repeat, and lines that
+Lines shorter than ``shortest`` characters are compared for equality only; the query op1_line_dedup joins
+lines from ``QUERY_SHORTEST`` characters on, at the same threshold. Rows that repeat, and lines that
 repeat within a text, count as occurrences in the order of doc_id and line number.
 
 Cases: a null text has no lines and stays null; an empty text has one empty line. Lines without a word are
@@ -26,7 +27,8 @@ from gridloom.llm.common import Rows, cut
 from gridloom.llm.components import components
 
 THRESHOLD = 2
-SHORTEST = 24
+SHORTEST = 24  # of calls that name no floor of their own
+QUERY_SHORTEST = 10  # of op1_line_dedup
 LONG = 64
 BUCKET = 8  # width of a bucket of letter counts; wider than twice the threshold
 
@@ -166,9 +168,9 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST)
     return joined.select(*rows.back())
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, n_links and the dropped lines' numbers, for every document."""
-    rows, per = dropped_lines(docs.select("doc_id", "text"))
+    rows, per = dropped_lines(docs.select("doc_id", "text"), threshold, shortest)
     lines = F.coalesce(F.size(F.split(rows.col("text"), "\n", -1)), F.lit(0))
     # a null text has no lines
     lines = F.when(rows.col("text").isNull(), 0).otherwise(lines).cast("long")

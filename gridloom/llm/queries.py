@@ -12,7 +12,7 @@ from gridloom.llm.common import load
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_line_dedup": lambda s, d: line_dedup.digest(load(s, d, "documents")),
+        "op1_line_dedup": lambda s, d: line_dedup.digest(load(s, d, "documents"), shortest=line_dedup.QUERY_SHORTEST),
         "op2_near_dup": lambda s, d: near_dup.digest(load(s, d, "documents")),
         "op3_quality_rules": lambda s, d: quality_rules.digest(load(s, d, "documents"), load(s, d, "labels")),
         "op4_secret_scan": lambda s, d: secret_scan.digest(load(s, d, "documents")),

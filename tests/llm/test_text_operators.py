@@ -434,3 +434,20 @@ def test_lm_learns_from_all_training_text(spark, monkeypatch):
     bits = 8 * sum(len(t) + 1 for t in learned)
     assert abs(kept[0].seen.sum() - lm_score.ORDERS * bits) < 1 and abs(kept[0].hits.sum() - bits) < 1
     assert np.mean([r.bits_per_byte for r in found if r.held_out and r.n_tokens > 100]) < 0.6
+
+
+def test_line_dedup_query_joins_short_lines(spark, tmp_path):
+    """The query links lines of 10 characters and more, also across 24 characters."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefg hij") for _ in range(n)) for n in (*range(8, 27), *range(8, 27))]
+    lines = base + [x[:3] + "," + x[3:] for x in base] + [x[:5] + "zz" + x[7:] for x in base]
+    lines += ["Are is anwh reenen.", "Are, is anwh reenen.", "a line of 23 characters", "a line of 24 characterss"]
+    made(spark, list(enumerate(lines))).write.parquet(f"{tmp_path}/documents.parquet")
+    from gridloom.llm.queries import queries
+
+    found = {r.doc_id: r.n_links for r in queries()["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    distinct = {x for x in lines if WORD.search(x)}
+    for i, x in enumerate(lines):
+        near = sum(x != y and min(len(x), len(y)) >= 10 and edits(x, y) <= 2 for y in distinct)
+        assert found[i] == near, x
+    assert found[len(lines) - 4] == found[len(lines) - 1] == 1
