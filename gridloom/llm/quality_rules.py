@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Rows, Texts, slices
@@ -167,15 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    bits = _line_bits(texts).where(F.size("bits") <= most_lines // 100).groupBy("doc_id").agg(F.min("bits").alias("bits"))
-    found = bits.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().to_pylist()
-    sequences, good, lines = [], [], 0
-    for row in found:
-        if lines + len(row["bits"]) > most_lines:
-            break
-        lines += len(row["bits"])
-        sequences.append(row["bits"])
-        good.append(row["quality"] > 0)
+    bits = _line_bits(texts).groupBy("doc_id").agg(F.min("bits").alias("bits"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    before = F.coalesce(F.sum(F.size("bits")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # only the document in which the last of most_lines stands is cut
+    within = bits.join(F.broadcast(chosen), "doc_id").withColumn("before", before).where(F.col("before") < most_lines)
+    found = within.orderBy(*order).select(F.slice("bits", F.lit(1), (F.lit(most_lines) - F.col("before")).cast("int")).alias("bits"), "quality").toArrow().to_pylist()
+    sequences, good = [row["bits"] for row in found], [row["quality"] > 0 for row in found]
     flat = np.array([b for s in sequences for b in s], dtype=np.int64)
     features = (flat[:, None] >> np.arange(len(LINE_FEATURES))) & 1 == 1
     return fit(features, np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int64), np.array(good, dtype=bool))

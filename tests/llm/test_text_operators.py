@@ -451,3 +451,12 @@ def test_line_dedup_query_joins_short_lines(spark, tmp_path):
         near = sum(x != y and min(len(x), len(y)) >= 10 and edits(x, y) <= 2 for y in distinct)
         assert found[i] == near, x
     assert found[len(lines) - 4] == found[len(lines) - 1] == 1
+
+
+def test_quality_rules_learn_from_long_documents(spark):
+    """Labelled documents of more than 2,000 lines teach too, up to the bound on all lines."""
+    rows = [(i, "\n".join(("the quiet river walks under bright fields." if i % 2 else "$$ | ## |") for _ in range(2100))) for i in range(6)]
+    labels = made(spark, [(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert quality_rules.train(made(spark, rows), labels).weight.any()
+    assert quality_rules.train(made(spark, rows), labels, most_lines=5000).weight.any()
+    assert not quality_rules.train(made(spark, rows), labels, most_lines=2000).weight.any()
