@@ -1,13 +1,13 @@
 """Shared helpers: words and hashes of whole Arrow batches, lineage cuts, column names.
 
-Words are runs of ``[^\\x20\\x09-\\x0D]`` over UTF-8 bytes. Hashes are 64-bit polynomials of the
-word's bytes, finished by an integer mixer, and are computed for a whole batch with numpy.
+Words are runs of ``[^\\x20\\x09-\\x0D]`` over UTF-8 bytes. Hashes take a word's bytes eight at a time
+through a 64-bit integer mixer, for a whole batch with numpy; long ranges are digested one by one.
 """
 
 from __future__ import annotations
 
 import atexit
-import os
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +16,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,9 @@ LOWER[65:91] += 32
 UPPER_SQL, LOWER_SQL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-_SPAN = 1 << 20  # bytes hashed at a time
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+LONG_RANGE = 64  # bytes from which a range is digested on its own
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)  # the first k bytes of eight
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,35 +39,56 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
         sc.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, *gone: DataFrame, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lost executors cost no recomputation
-    beyond this point, and every reader sees the same rows. The table goes when the driver ends."""
+    beyond this point, and every reader sees the same rows. Its shuffle files go when it is written, the
+    tables ``gone`` (cut before, read no more) after that, the table itself when the driver ends or it is
+    gone in turn. by: a column to partition the table by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_table = path
+    drop(*gone)
+    return out
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_gridloom_table", None):
+            _drop(table.sparkSession, path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of fewer rows for what runs inside, where a worker needs its memory for other things."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -96,35 +117,60 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_SPAN, n)
-    if size not in _tables:
-        up, down = np.full(size, _R), np.full(size, _RINV)
-        up[0] = down[0] = 1
-        _tables[size] = np.cumprod(up), np.cumprod(down)
-        if size > _SPAN:  # a table for one very long word is not kept
-            return _tables.pop(size)
-    return _tables[size]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, the eight bytes from there on as one integer; zeros follow the last one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of data[s:e] for each range; ranges are in order and do not overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + _SPAN, side="right")))
-        part = data[base : int(ends[to - 1])]
-        up, down = _powers(len(part))
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        shift = down[np.minimum(s, max(len(part) - 1, 0))] if len(part) else np.ones(len(s), np.uint64)
-        out[at:to] = mix64((sums[e] - sums[s]) * shift + (e - s).astype(np.uint64))
-        at = to
+    """A hash of data[s:e] for each range. Ranges of up to eight bytes have no equal hashes by length."""
+    lengths = ends - starts
+    out = mix64(lengths.astype(np.uint64) + _SPREAD)
+    ahead = eights(data)
+    todo = np.flatnonzero((lengths > 0) & (lengths <= LONG_RANGE))
+    at, left = starts[todo], lengths[todo]
+    while len(todo):
+        out[todo] = mix64(out[todo] ^ (ahead[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(lengths > LONG_RANGE)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        digests = [hashlib.blake2b(view[s:e], digest_size=8).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), dtype=np.uint64)
     return out
 
 
+def equal_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range equal those of the range that ``other`` numbers."""
+    lengths = ends - starts
+    same = lengths == lengths[other]
+    ahead = eights(data)
+    todo = np.flatnonzero(same & (other != np.arange(len(starts))) & (lengths > 0) & (lengths <= LONG_RANGE))
+    at, to, left = starts[todo], starts[other[todo]], lengths[todo]
+    while len(todo):
+        differ = (ahead[at] ^ ahead[to]) & _FIRST[np.minimum(left, 8)] != 0
+        same[todo[differ]] = False
+        more = ~differ & (left > 8)
+        todo, at, to, left = todo[more], at[more] + 8, to[more] + 8, left[more] - 8
+    for i in np.flatnonzero(same & (other != np.arange(len(starts))) & (lengths > LONG_RANGE)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]])
+    return same
+
+
+def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """An integer for each range; two are the same if and only if the bytes are. Hashes find equal ranges,
+    and bytes confirm them."""
+    _, first, name = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    same = equal_ranges(data, starts, ends, first[name])
+    if not same.all():  # two texts under one hash
+        kept: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            name[i] = len(first) + kept.setdefault(data[starts[i] : ends[i]].tobytes(), len(kept))
+    return name
+
+
 class Texts:
     """The texts of a slice of an Arrow column as one byte buffer; null counts as empty."""
 
@@ -182,23 +228,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         yield batch.slice(int(a), int(b - a))
 
 
-def bundle(size: int, spark: SparkSession) -> int:
-    """Partitions for a shuffle of our own: as many as the session has set at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), size)
+#: Plans whose rows are rows of the files themselves.
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def _straight(plan) -> bool:
+    below = plan.children()
+    return plan.nodeName() in _PLAIN and plan.deterministic() and all(_straight(below.apply(i)) for i in range(below.size()))
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a row key: a row's place in its input partition, which is the same in every reading of
-    files. Where docs is not read straight from files, it is written first, so that this holds for it."""
+    """docs with a row key: a row's file and its place there, which are the same in every reading, however
+    the files are dealt to tasks. What is not read straight from Parquet files is written first."""
     ship(docs.sparkSession)
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if "FileScan" not in plan or any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Existing")):
-        docs = cut(docs)
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if _straight(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs.withColumn(name, place)
+        except AnalysisException:  # files of a kind that does not number its rows
+            pass
+    return cut(docs).withColumn(name, place)
 
 
 class Rows:

@@ -24,26 +24,21 @@ def components(links: DataFrame, native: bool = False) -> DataFrame:
     logarithm of the nodes. native: no Python in either way."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(edges)
-    few = state[0] <= MOST_IN_ONE_TASK
-    if few and not native:
+    if state[0] <= MOST_IN_ONE_TASK and not native:
         ship(links.sparkSession)
-        return cut(edges.coalesce(1).mapInPandas(_joined, "node bigint, root bigint"))
-    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    edges = near(edges)
+        return cut(edges.coalesce(1).mapInPandas(_joined, "node bigint, root bigint"), edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = near(both)
-        least = near(cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = near(cut(large))
-        least = near(cut(large.groupBy("a").agg(F.min("b").alias("m"))))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), edges, least)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        every = near(small.unionByName(least.select("a", F.col("m").alias("b"))))
-        edges = near(cut(every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+        every = small.unionByName(least.select("a", F.col("m").alias("b")))
+        edges = cut(every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), large, least)
         before, state = state, _state(edges)
         if before == state:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), edges)
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

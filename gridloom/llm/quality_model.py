@@ -52,8 +52,8 @@ def statistics(texts: Texts) -> np.ndarray:
     marked = IS_SYMBOL[data[stats.ends - 1]] if len(stats.ends) else np.zeros(0, bool)
     short = stats.ends - stats.starts <= 3
     owner = np.repeat(np.arange(n), words)
-    order = np.lexsort((stats.word_hash, owner))
-    hashed, owned = stats.word_hash[order], owner[order]
+    order = np.lexsort((stats.word_name, owner))
+    hashed, owned = stats.word_name[order], owner[order]
     new = np.ones(len(hashed), dtype=bool)
     new[1:] = (hashed[1:] != hashed[:-1]) | (owned[1:] != owned[:-1])
     distinct = np.bincount(owned[new], minlength=n)
