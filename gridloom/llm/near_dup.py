@@ -11,12 +11,18 @@ They are left out of the lists above, which costs nothing for a class that has f
 other classes ("crowded") are indexed again, among themselves, by more of their sketch: values that are
 rare there make pairs as before. Classes whose sketch is mostly made of common values even there are
 compared with a hub, the most central class of each list; only classes that two rounds of this have not
-joined with the list's largest component then meet the other components of the list. So no pair within a
-known component is looked at, and no pair across components is left out.
+joined with the list's largest component then meet the other components of the list, by their sketches.
+So no pair within a known component is looked at, and no pair across components is left out.
+
+Full sets are worked out where the texts are read, for the documents that some pair asks for: a filter of
+at most ``MOST_BITS`` bits over their ids goes to the readers, and what passes by chance is joined away.
+Shingles are compared as 64-bit hashes; words are hashed through an integer mixer, so that two different
+shingles of a pair of documents are taken for one with a chance of some 1e-13.
 
 Cases: null and empty texts have no shingles and are linked with nothing. doc_id names a document: rows
 that repeat a doc_id share a component. Rows without doc_id have no component and are kept. Fewer words
-than a shingle has count as one shingle. An empty table gives an empty result.
+than a shingle has count as one shingle. A text of any length is one slice of a batch. Columns of other
+names are not read; ``dedup`` hands them on, whatever they are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, Texts, cut, mix64, range_hashes, slices
+from gridloom.llm.common import Rows, Texts, cut, drop, mix64, range_hashes, slices
 from gridloom.llm.components import components
 from gridloom.shipping import ship
 
@@ -41,7 +47,7 @@ CROWDED = 4  # common values in a prefix
 OFTEN, HALF, MOSTLY = 38, 32, 51  # common values in a sketch; see _crowd_pairs
 RARE_PREFIX = 24
 HUB_ROUNDS = 2
-FEW_ROWS, FEW_SHINGLES = 100_000, 10_000_000  # of lists that one task may hold
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27  # of the filter over ids; a bitmap of Spark's has 2^15
 LEAST_PERCENT = 80  # what the numbers above are made for
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,6 +101,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))
 
 
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
     """From doc, text: doc, n, name (a digest of the whole set), sketch."""
 
@@ -102,22 +112,33 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(Texts(part.column(1), lower=True), words)
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), _lists([s[:SKETCH] for s in sets])]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), _names(sets), _lists([s[:SKETCH] for s in sets])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "name", "sketch"])
 
     return rows.mapInArrow(run, "doc bigint, n bigint, name binary, sketch array<bigint>")
 
 
-def _full_sets(rows: DataFrame, words: int) -> DataFrame:
-    """From doc, text: doc, shingles."""
+def _full_sets(rows: DataFrame, words: int, asked: DataFrame) -> DataFrame:
+    """From doc, text: doc, name, shingles of the documents in asked, and of some more."""
+    spark = rows.sparkSession
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * asked.count()).bit_length()))
+    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(bits))
+    maps = asked.select(bit("doc").alias("bit")).groupBy(F.expr(f"bit div {LEAST_BITS}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"bit % {LEAST_BITS}")).alias("map"))
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for row in maps.toLocalIterator():
+        held[row.k * LEAST_BITS // 8 :][: LEAST_BITS // 8] = np.frombuffer(bytes(row.map), np.uint8)
+    shared = spark.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
         for batch in batches:
+            at = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array(held[at >> 3] >> (at & 7) & 1 == 1))
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(shingle_sets(Texts(part.column(1), lower=True), words))], names=["doc", "shingles"])
+                sets = shingle_sets(Texts(part.column(1), lower=True), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), _names(sets), _lists(sets)], names=["doc", "name", "shingles"])
 
-    return rows.mapInArrow(run, "doc bigint, shingles array<bigint>")
+    return rows.withColumn("bit", bit("doc")).mapInArrow(run, "doc bigint, name binary, shingles array<bigint>")
 
 
 def _pairs(lists: DataFrame, like: Likeness) -> DataFrame:
@@ -130,19 +151,24 @@ def _pairs(lists: DataFrame, like: Likeness) -> DataFrame:
 def _with_counts(lists: DataFrame) -> DataFrame:
     """lists (v, ...) with c, the length of each list; lists of one are dropped."""
     lengths = cut(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    return cut(lists.join(lengths, "v"))
+    return cut(lists.join(lengths, "v"), lengths)
+
+
+def _enough(sa, sb, like: Likeness):
+    """Whether the sketch of two sets' union holds enough common values: of the smallest values of both
+    sketches together, count those in both. What both sketches have in common altogether bounds that, and is
+    looked at first."""
+    both = F.array_intersect(sa, sb)
+    bound = F.size(both) * SKETCH >= like.least(SKETCH) * F.greatest(F.size(sa), F.size(sb))
+    union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, SKETCH)
+    return F.when(bound, F.size(F.array_intersect(union, both)) * SKETCH >= like.least(SKETCH) * F.size(union)).otherwise(False)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) whose union's sketch holds enough common values: of the smallest values of both
-    sketches together, as many as the shorter sketch has, count those in both."""
+    """Pairs (a, b) whose estimate is high enough."""
     one = classes.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
     two = classes.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    enough = shared * SKETCH >= like.least(SKETCH) * F.size(union)
-    return joined.where(enough).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(_enough("sa", "sb", like)).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -173,60 +199,54 @@ def _crowd_pairs(classes: DataFrame, crowded: DataFrame, like: Likeness) -> tupl
     return _pairs(rare.select("v", "doc", "n"), like).select("a", "b").distinct(), hubs.select("v", "doc", "n", "weight")
 
 
-def _with_roots(lists: DataFrame, links: DataFrame, near) -> DataFrame:
-    found = near(components(links))
-    return lists.join(found, lists["doc"] == found["node"], "left").select("v", "doc", "n", "weight", F.coalesce("root", "doc").alias("root"))
-
-
-def _hub_links(lists: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+def _hub_links(lists: DataFrame, links: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """links with those between classes of the lists (v, doc, n, weight) added.
 
     Members of a large group of near copies differ from its centre in places of their own, so that what is
     linked with any other member is, as a rule, linked with the most central one, whose values are the most
     common. That class is the hub. What a hub leaves out meets all others of its list at last; such a pair
     is met once, under its smallest common value, and made only if its full sets confirm it."""
-    lists = cut(lists)
-    rows, shingles = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not rows:
+    if lists.isEmpty():
         return links
-    # tables of a counted, small size are worked through by one task, which spares their shuffles
-    few = rows <= FEW_ROWS and shingles <= FEW_SHINGLES * PREFIX
-    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     own = lists.groupBy("doc").agg(F.array_sort(F.collect_list("v")).alias("values"))
-    classes, sets = cut(classes.join(own, "doc").select("doc", "sketch")), cut(sets.join(own, "doc").select("doc", "shingles", "values"))
-    lists, classes, sets = near(lists), near(classes), near(sets)
+    held = cut(sets.join(own, "doc").select("doc", "shingles", F.slice("shingles", 1, SKETCH).alias("sketch"), "values"))
     for turn in range(HUB_ROUNDS):
-        placed, open_lists = _open_lists(lists, links, near)
-        if open_lists is None:
+        open_lists = _open_lists(lists, links)
+        if open_lists.isEmpty():
             return links
         some = open_lists if turn == 0 else open_lists.where("root <> largest")
-        hub = near(cut(some.groupBy("v").agg(F.max_by(F.struct("doc", "n", "root"), F.struct("weight", "doc")).alias("hub"))))
+        hub = some.groupBy("v").agg(F.max_by(F.struct("doc", "n", "root"), F.struct("weight", "doc")).alias("hub"))
         met = open_lists.join(hub, "v").where((F.col("root") != F.col("hub.root")) & like.sizes(F.col("n"), F.col("hub.n")))
-        met = met.select(F.least(F.col("doc"), F.col("hub.doc")).alias("a"), F.greatest(F.col("doc"), F.col("hub.doc")).alias("b")).distinct()
-        links = cut(links.unionByName(_confirmed(_estimated(near(cut(met)), classes, like), sets, like)))
-    placed, open_lists = _open_lists(lists, links, near)
-    if open_lists is None:
+        met = cut(met.select(F.least(F.col("doc"), F.col("hub.doc")).alias("a"), F.greatest(F.col("doc"), F.col("hub.doc")).alias("b")).distinct(), open_lists)
+        links = cut(links.unionByName(_confirmed(_estimated(met, held, like), held, like)), met, links)
+    open_lists = _open_lists(lists, links)
+    # a pair is met in the list of its smallest common value: none of the smaller ones is in both
+    fewer = F.slice("values", 1, F.array_position("values", F.col("v")).cast("int") - 1)
+    full = cut(open_lists.join(held, "doc").withColumn("fewer", fewer).drop("values", "weight"), open_lists)
+    if full.isEmpty():
         return links
-    full = near(cut(open_lists.join(sets, "doc").select("v", "doc", "root", "largest", "shingles", "values")))
-    some = full.where("root <> largest").select("v", F.col("doc").alias("p"), F.col("root").alias("rp"), F.col("shingles").alias("xp"), F.col("values").alias("vp"))
-    other = full.select(F.col("v").alias("u"), F.col("doc").alias("q"), F.col("root").alias("rq"), "largest", F.col("shingles").alias("xq"), F.col("values").alias("vq"))
-    some, other = some.repartition("v"), other.repartition("u")
-    once = (F.col("rq") == F.col("largest")) | (F.col("p") < F.col("q"))
-    sized = like.sizes(F.size("xp"), F.size("xq"))
-    smallest = F.array_min(F.array_intersect("vp", "vq")) == F.col("v")
-    linked = like.linked(F.size(F.array_intersect("xp", "xq")), F.size("xp"), F.size("xq"))
-    condition = F.when(once & (F.col("rp") != F.col("rq")) & sized, F.when(smallest, linked).otherwise(False)).otherwise(False)
-    met = some.join(other, (F.col("v") == F.col("u")) & condition)
-    return links.unionByName(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-
-
-def _open_lists(lists: DataFrame, links: DataFrame, near):
-    """(lists with the root of each class, the rows of lists in which several components are left, with the
-    largest one of their list); None for these where there are none."""
-    placed = near(cut(_with_roots(lists, links, near)))
+    some, other = full.where("root <> largest").alias("p"), full.alias("q")
+    p, q = (lambda name: F.col(f"p.{name}")), (lambda name: F.col(f"q.{name}"))
+    tests = (
+        (p("root") != q("root")) & ((q("root") == q("largest")) | (p("doc") < q("doc"))) & like.sizes(p("n"), q("n")),
+        ~F.arrays_overlap(p("fewer"), q("fewer")),
+        _enough(p("sketch"), q("sketch"), like),
+        like.linked(F.size(F.array_intersect(p("shingles"), q("shingles"))), F.size(p("shingles")), F.size(q("shingles"))),
+    )
+    condition = F.lit(True)
+    for test in tests[::-1]:  # each is looked at only where those before it hold
+        condition = F.when(test, condition).otherwise(False)
+    met = some.join(other, (p("v") == q("v")) & condition).select(F.least(p("doc"), q("doc")).alias("a"), F.greatest(p("doc"), q("doc")).alias("b"))
+    return cut(links.unionByName(met), links, full, held)
+
+
+def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of lists in which several components are left, with the root of each class and the largest
+    component of the list."""
+    roots = components(links)
+    placed = cut(lists.join(roots, lists["doc"] == roots["node"], "left").select("v", "doc", "n", "weight", F.coalesce("root", "doc").alias("root")), roots)
     parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("v").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    several = near(cut(parts.where("parts > 1").select("v", "largest")))
-    return placed, None if several.isEmpty() else placed.join(several, "v")
+    return cut(placed.join(parts.where("parts > 1").select("v", "largest"), "v"), placed)
 
 
 def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
@@ -235,9 +255,9 @@ def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc_id").isNotNull())
     base = cut(_sketches(named, like.words))
     leaders = cut(base.where("n > 0").groupBy("name").agg(F.min("doc").alias("leader")))
-    members = cut(base.select("doc", "n", "name").join(leaders, "name", "left").select("doc", "n", "name", F.coalesce("leader", "doc").alias("leader")))
+    members = cut(base.select("doc", "n", "name").join(leaders, "name", "left").select("doc", "n", "name", F.coalesce("leader", "doc").alias("leader")), leaders)
     own = members.where("doc = leader and n > 0").select("doc", "name").distinct()
-    classes = cut(base.join(own, ["doc", "name"]).select("doc", "n", "name", "sketch").dropDuplicates(["doc", "name"]))
+    classes = cut(base.join(own, ["doc", "name"]).select("doc", "n", "name", "sketch").dropDuplicates(["doc", "name"]), base)
 
     lists = _with_counts(classes.select("doc", "n", F.explode(F.slice("sketch", 1, PREFIX)).alias("v")))
     common = cut(lists.where(F.col("c") > LONG).groupBy("doc").agg(F.count(F.lit(1)).alias("common")))
@@ -245,20 +265,20 @@ def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     ca, cb = (common.select(F.col("doc").alias(x), F.col("common").alias("c" + x)) for x in "ab")
     unseen = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
     needed = F.least(F.lit(like.least(PREFIX)), F.ceil(F.col("n") * like.percent / 100)) - unseen
-    near = cut(seen.where("overlap >= 1")).join(ca, "a", "left").join(cb, "b", "left").where(F.col("overlap") >= needed).select("a", "b")
+    met = seen.join(ca, "a", "left").join(cb, "b", "left").where(F.col("overlap") >= needed).select("a", "b")
     # sets with fewer values than a prefix are crowded at the same share of them
     sizes = classes.select("doc", "n").groupBy("doc").agg(F.min("n").alias("n"))
-    crowded = common.join(sizes, "doc").where(F.col("common") * PREFIX >= CROWDED * F.least(F.col("n"), F.lit(PREFIX))).select("doc")
-    crowded_pairs, hub_lists = _crowd_pairs(classes, cut(crowded), like)
+    crowded = cut(common.join(sizes, "doc").where(F.col("common") * PREFIX >= CROWDED * F.least(F.col("n"), F.lit(PREFIX))).select("doc"))
+    crowded_pairs, hub_lists = _crowd_pairs(classes, crowded, like)
     hub_lists = cut(hub_lists)
-    pairs = cut(_estimated(near.unionByName(crowded_pairs).distinct(), classes, like))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(hub_lists.select("doc")).distinct()
-    texts = named.join(asked, "doc").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc", "h"]).select("doc", "text")
-    sets = cut(_full_sets(texts, like.words))
-    found = cut(_confirmed(pairs, sets, like))
+    pairs = cut(_estimated(met.unionByName(crowded_pairs).distinct(), classes, like), lists, common, crowded)
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(hub_lists.select("doc")).distinct())
+    sets = cut(_full_sets(named, like.words, asked).join(asked, "doc", "left_semi").dropDuplicates(["doc", "name"]).select("doc", "shingles"), asked)
+    found = _hub_links(hub_lists, cut(_confirmed(pairs, sets, like), pairs), sets, like)
+    drop(sets, classes, hub_lists)
     repeated = members.where("n > 0").groupBy("doc").agg(F.min("leader").alias("b"), F.max("leader").alias("most")).where("b < most")
     same = members.join(repeated, "doc").select(F.col("leader").alias("a"), "b")
-    return members, _hub_links(hub_lists, found, classes, sets, like).unionByName(same)
+    return members, found.unionByName(same)
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:  # noqa: B008
