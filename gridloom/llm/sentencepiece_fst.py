@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model is compiled into three parts: the normaliser (spaces become the piece character U+2581, a dummy
-prefix comes first), the pieces with their weights, and byte fallback for characters without a piece. An
-input is composed with it and the shortest path in the tropical semiring gives the ids. For a unigram
-model an arc weighs minus its piece's score. A byte-pair model has no additive weights: a segmentation is
-what its merges give if and only if every two adjacent pieces are what the merges make of their own text,
-so an arc weighs 0 after a piece with which it forms such a pair, and infinity otherwise; one path with
-finite weight is left. Pieces never hold a space after another character, so runs of spaces with the word
-that follows them are composed one by one, and the paths of recent words are kept (a bounded table).
+The model is compiled into one transducer: the normaliser (spaces become the piece character U+2581, a dummy
+prefix comes first), a trie of the pieces whose final states emit ids, and byte fallback for characters
+without a piece. An input is composed with it state by state, and the shortest path in the tropical semiring
+(sums along a path, minimum over paths) gives the ids. For a unigram model an arc weighs minus its piece's
+score, and the composed states are places of the input. A byte-pair model has no additive scores: a
+segmentation is what its merges give if and only if every two adjacent pieces are what the merges make of
+their own text. Its composed states are therefore pairs of a place and the piece that ends there, and an arc
+weighs 0 after a piece with which it forms such a pair and infinity otherwise; states at infinity are not
+expanded. Pieces never hold a space after another character, so runs of spaces with the word that follows
+them are composed one by one, and the paths of recent words are kept (a bounded table); where no piece holds
+a line break beside other characters, words end at line breaks too.
 
 Cases: a null text has null ids, an empty one none. Characters without a piece become one id a byte.
 Decoding gives the text again, except that U+2581 comes back as a space and bytes that are no UTF-8 as
-U+FFFD. Rows that repeat are encoded alike; other columns stay. An empty table gives an empty result.
+U+FFFD. Rows that repeat are encoded alike; other columns stay, but input columns named ids, n_tokens,
+round_trip (if asked for) or decoded are replaced. A text of any length is composed word by word, and a word
+of any length place by place. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,10 +77,12 @@ class Transducer:
         pieces = self.model.pieces
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.score = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
-        self.longest = max(map(len, self.ids), default=1)
-        self.reach: dict[str, int] = {}  # length of the longest piece by its first two characters
+        self.start: dict[str, dict] = {}  # the trie: a state's arcs by character; a final state's piece under ""
         for piece in self.ids:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+            state = self.start
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = piece
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.surface = [self._surface(p, kind) for p, _, kind in pieces]
@@ -83,7 +90,8 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.kept = _Kept(self)
-        self.split = re.compile(" *[^ \n]+| +|\n")
+        breaks = "" if any("\n" in p and len(p) > 1 for p in self.ids) else "\n"
+        self.split = re.compile(f" *[^ {breaks}]+| +|\n")
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -127,47 +135,51 @@ class Transducer:
         return found
 
     def path(self, text: str) -> list[str]:
-        """The shortest path's pieces for one normalised word; characters without a piece stand alone."""
-        return self._only_path(text) if self.model.kind == BPE else self._least_path(text)
-
-    def _only_path(self, text: str) -> list[str]:
-        """The one path of finite weight, depth first and longest piece first. What is on the path so far is
-        the only one to its end, so a place from which nothing goes on is on no path."""
-        size, ids, reach, pairs = len(text), self.ids, self.reach, self.pairs
-        path: list[str] = []
-        dead: set[int] = set()
-        at, last, n = 0, "", min(reach.get(text[:2], 1), size)
-        while at < size:
-            while n:
-                piece = text[at : at + n]
-                if (piece in ids or n == 1) and at + n not in dead:
-                    follows = pairs.get((last, piece)) if last else True
-                    if follows if follows is not None else self._follows(last, piece):
+        """The shortest path's pieces for one normalised word. A composed state is (the piece that it
+        remembers, least cost, last piece, the state before it); states stand by their place."""
+        size, begin, follows, scores, additive = len(text), self.start, self.pairs.get, self.score, self.model.kind == UNIGRAM
+        states: list[list[tuple]] = [[] for _ in range(size + 1)]
+        states[0].append(("", 0.0, "", None))
+        for at in range(size):
+            here = states[at]
+            if not here:
+                continue
+            trie, end = begin, at
+            while end < size:
+                trie = trie.get(text[end]) if trie else None
+                end += 1
+                if trie is None:
+                    if end > at + 1:
                         break
-                n -= 1
-            if n:
-                path.append(piece)
-                at, last = at + n, piece
-                n = min(reach.get(text[at : at + 2], 1), size - at)
-            else:
-                dead.add(at)
-                n = len(path.pop())
-                at, last, n = at - n, path[-1] if path else "", n - 1
-        return path
-
-    def _least_path(self, text: str) -> list[str]:
-        size, ids = len(text), self.ids
-        last, cost = [""] * (size + 1), [0.0] + [float("inf")] * size
-        for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                weight = -self.score[piece] if piece in ids else self.cost_of_unknown if end - start == 1 else None
-                if weight is not None and cost[start] + weight < cost[end]:
-                    cost[end], last[end] = cost[start] + weight, piece
-        out, at = [], size
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
+                    piece = text[at]  # without a piece, it stands alone
+                else:
+                    piece = trie.get("")
+                    if piece is None:
+                        if end > at + 1:
+                            continue
+                        piece = text[at]
+                for state in here:
+                    last, cost = state[0], state[1]
+                    if additive:
+                        kept, cost = "", cost + (-scores[piece] if piece in scores else self.cost_of_unknown)
+                    else:
+                        kept = piece
+                        if last:
+                            finite = follows((last, piece))
+                            if not (finite if finite is not None else self._follows(last, piece)):
+                                continue
+                    ahead = states[end]
+                    for i, other in enumerate(ahead):
+                        if other[0] == kept:
+                            if cost < other[1]:
+                                ahead[i] = (kept, cost, piece, state)
+                            break
+                    else:
+                        ahead.append((kept, cost, piece, state))
+        out, state = [], min(states[size], key=lambda s: s[1])
+        while state[3] is not None:
+            out.append(state[2])
+            state = state[3]
         return out[::-1]
 
     def word(self, text: str) -> bytes:
