@@ -91,6 +91,17 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27  # of a filter over ids; a bitmap of Spark's has 2^15
+
+
+def marked(ids: DataFrame, column: str) -> tuple[int, DataFrame]:
+    """(bits, table of k, map): a filter over ids of a counted size, ``MOST_BITS`` at most, in maps of 2^15 bits.
+    An id's bit is its xxhash64 modulo bits. What has its bit set may be among the ids; nothing else is."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    bit = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("bit"))
+    return bits, bit.groupBy(F.expr(f"bit div {LEAST_BITS}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"bit % {LEAST_BITS}")).alias("map"))
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():

@@ -6,16 +6,19 @@ number, segment), and probes, for every length within the threshold, the substri
 that segment can lie. Candidates are verified with a banded bit-parallel edit distance. Lines connected by
 links are one class, and of each class the first occurrence in the corpus stays.
 
-An index list longer than ``LONG`` (a segment that many lines share) makes no pairs by itself: its entries
-are keyed once more by buckets of letter counts, which an edit changes by one at most, and all letter
-counts must fit before a pair is made.
+Of each index list first only the line with the most occurrences, its centre, meets the probes. Lists of one
+are done with that; of longer ones, lines that these links have not joined into one class meet each other, if
+their letter counts, which an edit changes by two at most, allow it. So copies of one line with edits of
+their own, however many, take one verification each, and no pair across classes is left out. Lists longer
+than ``LONG`` are keyed once more by buckets of letter counts before they are compared within.
 
 Lines shorter than ``shortest`` characters are compared for equality only; the query op1_line_dedup joins
 lines from ``QUERY_SHORTEST`` characters on, at the same threshold. Rows that repeat, and lines that
 repeat within a text, count as occurrences in the order of doc_id and line number.
 
 Cases: a null text has no lines and stays null; an empty text has one empty line. Lines without a word are
-never dropped. A null doc_id comes first. An empty table gives an empty result.
+never dropped. A null doc_id comes first. A line of any length is one line. Columns of other names are not
+read; ``dedup`` hands them on, whatever they are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, cut
+from gridloom.llm.common import Rows, cut, drop, marked
 from gridloom.llm.components import components
 
 THRESHOLD = 2
@@ -47,21 +50,34 @@ def probe_places(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int, shortest: int) -> DataFrame:
-    """lid, key, longer: for lines (lid, line, size) the key of the substring at each place that lies within
+    """lid, n, key, longer, own (whether it is the line's own segment): for lines (lid, line, size, n) the key of the substring at each place that lies within
     the line. Places come as rows, so that each key is a few generated instructions. Of a line of length l,
     the last l mod (threshold + 1) segments are longer by one."""
     parts = threshold + 1
     listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("longer", "i", "offset"), p, strict=True)]) for p in places])
-    rows = lines.select("lid", "line", "size", F.explode(listed).alias("p")).select("lid", "line", "size", "p.longer", "p.i", "p.offset")
+    rows = lines.select("lid", "line", "size", "n", F.explode(listed).alias("p")).select("lid", "line", "size", "n", "p.longer", "p.i", "p.offset")
     rows = rows.withColumn("target", F.col("size") - F.col("longer")).where(F.col("target") >= shortest)
     rows = rows.withColumn("even", F.expr(f"target div {parts}").cast("int")).withColumn("ahead", F.col("i") - parts + F.col("target") % parts)
     rows = rows.withColumn("start", F.col("even") * F.col("i") + F.greatest(F.lit(0), F.col("ahead")) + F.col("offset"))
     rows = rows.withColumn("width", F.col("even") + F.when(F.col("ahead") >= 0, 1).otherwise(0)).where("start >= 0 and start + width <= size")
-    return rows.select("lid", F.xxhash64(F.substring("line", F.col("start") + 1, F.col("width")), "i", "target").alias("key"), "longer")
+    key = F.xxhash64(F.substring("line", F.col("start") + 1, F.col("width")), "i", "target")
+    return rows.select("lid", "n", key.alias("key"), "longer", ((F.col("longer") == 0) & (F.col("offset") == 0)).alias("own"))
 
 
-def _counts(line):
-    return [F.length(line) - F.length(F.translate(line, c, "")) for c in LETTER_CLASSES]
+def _letters(line):
+    """How many letters of each class a line has, up to 255, in one integer."""
+    counts = [F.length(line) - F.length(F.translate(line, c, "")) for c in LETTER_CLASSES]
+    return sum((F.shiftleft(F.least(c, F.lit(255)).cast("long"), 8 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
+
+
+def _count(letters, i: int):
+    return F.shiftright(letters, 8 * i).bitwiseAND(F.lit(255))
+
+
+def _alike(a, b, threshold: int):
+    """Whether letter counts allow two lines to be within the threshold: an edit takes one letter away, brings
+    one, or both."""
+    return sum((F.abs(_count(a, i) - _count(b, i)) for i in range(len(LETTER_CLASSES))), F.lit(0)) <= 2 * threshold
 
 
 def within(a, b, threshold: int):
@@ -91,42 +107,66 @@ def within(a, b, threshold: int):
     return F.when(close, F.getbit(last, F.length(a) - F.length(b) + threshold) == 1).otherwise(False)
 
 
-def _split_long(index: DataFrame, probes: DataFrame, lines: DataFrame, long: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of index entries and probes under long keys. Letter counts of lines within the threshold differ
-    by at most that much in each class: buckets of three of them join the key, and a probe asks for the
-    bucket on either side; all of them must fit before a pair is made."""
-    counted = [f"c{i}" for i in range(len(LETTER_CLASSES))]
-    crowded = index.join(long, "key").select("lid").unionByName(probes.join(long, "key").select("lid")).distinct()
-    counts = lines.join(crowded, "lid").select("lid", *[c.alias(n) for c, n in zip(_counts(F.col("line")), counted, strict=True)])
-    keyed = counted[:3]
-    held = index.join(long, "key").join(counts, "lid").select("key", *[F.floor(F.col(c) / BUCKET).alias("b" + c) for c in keyed], F.col("lid").alias("b"), *[F.col(c).alias("i" + c) for c in counted])
-    asked = probes.join(long, "key").join(counts, "lid").select("key", F.col("lid").alias("a"), "longer", *counted)
-    for c in keyed:
-        sides = F.array_distinct(F.array(*[F.floor((F.col(c) + s) / BUCKET) for s in (-threshold, threshold)]))
-        asked = asked.withColumn("b" + c, F.explode(sides))
-    off = sum((F.abs(F.col(c) - F.col("i" + c)) for c in counted), F.lit(0))
-    same = (F.col("a") != F.col("b")) & ((F.col("longer") > 0) | (F.col("a") < F.col("b")))
-    return asked.join(held, ["key", *["b" + c for c in keyed]]).where(same & (off <= 2 * threshold)).select("a", "b")
+def _verified(pairs: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b) of lines held (lid, line, letters) those within the threshold, each once."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for what in ("letters", "line"):
+        for side in "ab":
+            pairs = pairs.join(held.select(F.col("lid").alias(side), F.col(what).alias(f"{what}_{side}")), side)
+        if what == "letters":
+            pairs = pairs.where(_alike(F.col("letters_a"), F.col("letters_b"), threshold)).select("a", "b")
+    return pairs.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
+
+
+def _within_lists(lists: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of probes and index entries of lists (key, lid, longer, own, n, letters, root, largest)
+    whose classes differ and whose letter counts fit."""
+    entries = lists.where("own").select("key", "n", *[F.col(c).alias("q_" + c) for c in ("lid", "letters", "root")])
+    once = (F.col("lid") != F.col("q_lid")) & ((F.col("longer") > 0) | (F.col("lid") < F.col("q_lid"))) & (F.col("root") != F.col("q_root"))
+    fit = F.when(once, _alike(F.col("letters"), F.col("q_letters"), threshold)).otherwise(False)
+    short = lists.where(F.col("n") <= LONG).drop("n").alias("p").join(entries.drop("n").alias("q"), (F.col("p.key") == F.col("q.key")) & fit)
+    # a probe asks for the bucket on either side; of the largest class only what is outside of it is asked for
+    buckets = [f"b{i}" for i in range(3)]
+    asked, held = lists.where(F.col("n") > LONG).drop("n"), entries.where(F.col("n") > LONG).drop("n")
+    for i, b in enumerate(buckets):
+        sides = F.array_distinct(F.array(*[F.floor((_count(F.col("letters"), i) + s) / BUCKET) for s in (-threshold, threshold)]))
+        asked, held = asked.withColumn(b, F.explode(sides)), held.withColumn(b, F.floor(_count(F.col("q_letters"), i) / BUCKET))
+    held = held.join(lists.select("key", "largest").distinct(), "key").withColumn("apart", F.col("q_root") != F.col("largest")).drop("largest")
+    joined = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("key", *buckets)]
+    found = short.select("lid", "q_lid")
+    for some, others in ((asked.where("root <> largest"), held), (asked.where("root = largest"), held.where("apart"))):
+        condition = fit
+        for c in joined:
+            condition = c & condition
+        found = found.unionByName(some.alias("p").join(others.alias("q"), condition).select("lid", "q_lid"))
+    return found.select(F.col("lid").alias("a"), F.col("q_lid").alias("b"))
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """From distinct lines (lid, line, size: its length): pairs (a, b) within the threshold, each once."""
-    able = lines.where(F.col("size") >= shortest).select("lid", "line", "size")
-    index = _keyed(able, [(0, i, 0) for i in range(threshold + 1)], threshold, shortest).drop("longer")
-    probes = _keyed(able, probe_places(threshold), threshold, shortest)
-    long = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("key"))
-    asked = probes.select(F.col("lid").alias("a"), "key", "longer").join(long, "key", "left_anti")
-    held = index.select(F.col("lid").alias("b"), "key")
-    same = (F.col("a") != F.col("b")) & ((F.col("longer") > 0) | (F.col("a") < F.col("b")))
-    pairs = asked.join(held, "key").where(same).select("a", "b")
-    if not long.isEmpty():
-        pairs = pairs.unionByName(_split_long(index, probes, able, long, threshold))
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    needed = cut(able.join(named, "lid").select("lid", "line"))
-    both = pairs.join(needed.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(needed.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    off = sum((F.abs(x - y) for x, y in zip(_counts(F.col("x")), _counts(F.col("y")), strict=True)), F.lit(0))
-    return both.where(off <= 2 * threshold).where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+    """From distinct lines (lid, line, size: its length, n: its occurrences): links (a, b) between lines within
+    the threshold. Lines have a path of links between them if, and only if, they have one of such pairs."""
+    able = lines.where(F.col("size") >= shortest).select("lid", "line", "size", "n")
+    index = _keyed(able, [(0, i, 0) for i in range(threshold + 1)], threshold, shortest)
+    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("lid", F.struct("n", "lid")).alias("center"))
+    probes = _keyed(able, probe_places(threshold), threshold, shortest).drop("n")
+    matches = cut(probes.join(lists, "key").where("n > 1 or lid <> center"))
+    ids = cut(matches.select("lid").unionByName(matches.select(F.col("center").alias("lid"))).distinct())
+    # the texts of these lines, picked by a filter before they are joined
+    bits, maps = marked(ids, "lid")
+    texts = able.select("lid", "line").withColumn("bit", F.pmod(F.xxhash64("lid"), F.lit(bits))).withColumn("k", F.expr("bit div 32768"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bit % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    picked = texts.join(F.broadcast(maps), "k").where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    held = cut(picked.select("lid", "line").join(ids, "lid").withColumn("letters", _letters(F.col("line"))), ids)
+    links = cut(_verified(matches.where("lid <> center").select(F.col("lid").alias("a"), F.col("center").alias("b")), held, threshold))
+    roots = components(links, native=True)
+    several = matches.where("n > 1").join(held.select("lid", "letters"), "lid").join(roots, F.col("lid") == F.col("node"), "left")
+    placed = cut(several.select("key", "lid", "longer", "own", "n", "letters", F.coalesce("root", "lid").alias("root")), roots)
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    left = cut(placed.join(parts.where("parts > 1").select("key", "largest"), "key"), placed)
+    if not left.isEmpty():
+        links = cut(links.unionByName(_verified(_within_lists(left, threshold), held, threshold)), links)
+    drop(left, held, matches)
+    return links
 
 
 def _occurrences(rows: Rows) -> DataFrame:
@@ -136,47 +176,51 @@ def _occurrences(rows: Rows) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> tuple[Rows, DataFrame]:
-    """(keyed docs, table of rid, dropped: numbers of lines that go, n_near: how many of them only resemble
-    the line that stays, n_links: links of the text's lines)."""
+    """(keyed docs, table of rid, dropped: numbers of lines that go and where the lines stand that stay for them,
+    n_near: how many of them only resemble that line, n_class_lines: other lines in the classes of the text's
+    lines)."""
     rows = Rows(docs, ("doc_id", "text"))
     named = _occurrences(rows).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
     place = F.struct("doc_id", "rid", "pos")
     distinct = named.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     lines = cut(distinct.withColumn("lid", F.monotonically_increasing_id()).withColumn("size", F.length("line")))
-    found = cut(line_links(lines.select("lid", "line", "size"), threshold, shortest))
-    degree = found.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count(F.lit(1)).alias("links"))
-    roots = cut(components(found, native=True))
-    slim = lines.select("lid", "h", "g", "first", "n").join(degree, "lid", "left").where("n > 1 or links is not null")
-    classed = cut(slim.join(roots, slim["lid"] == roots["node"], "left").select("h", "g", "first", F.coalesce("root", "lid").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    keeper = cut(classed.groupBy("root").agg(F.min("first").alias("keeper")))
-    affected = cut(classed.join(keeper, "root").select("h", "g", "links", "keeper", (F.col("first") != F.col("keeper")).alias("near")))
+    found = line_links(lines.select("lid", "line", "size", "n"), threshold, shortest)
+    roots = components(found, native=True)
+    slim = lines.select("lid", "h", "g", "first", "n").join(roots, F.col("lid") == F.col("node"), "left")
+    classed = cut(slim.join(found.select(F.explode(F.array("a", "b")).alias("lid")).distinct().withColumn("linked", F.lit(True)), "lid", "left")
+                  .where("n > 1 or linked").select("h", "g", "first", F.coalesce("root", "lid").alias("root")), found, roots, lines)
+    keeper = classed.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("size"))
+    affected = cut(classed.join(keeper, "root").select("h", "g", "size", "keeper", (F.col("first") != F.col("keeper")).alias("near")), classed)
     seen = named.select("rid", "pos", "h", "g").join(affected, ["h", "g"])
     goes = ~((F.col("rid") == F.col("keeper.rid")) & (F.col("pos") == F.col("keeper.pos")))
     per = seen.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.when(goes, F.col("pos")))).alias("dropped"), F.count_if(goes & F.col("near")).alias("n_near"), F.sum("links").alias("n_links")
-    )
-    return rows, cut(per)
+        F.array_sort(F.collect_list(F.when(goes, F.struct("pos", F.col("keeper.doc_id").alias("by"), F.col("keeper.pos").alias("at"))))).alias("dropped"),
+        F.count_if(goes & F.col("near")).alias("n_near"), F.sum(F.col("size") - 1).alias("n_class_lines"),
+    )
+    return rows, cut(per, affected)
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """docs with the lines that go taken out of their texts."""
     rows, per = dropped_lines(docs, threshold, shortest)
     text = rows.col("text")
-    parts = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~F.array_contains("dropped", i), x))
+    parts = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~F.array_contains("dropped.pos", i), x))
     left = F.when(F.size("dropped") > 0, F.array_join(F.array_compact(parts), "\n")).otherwise(text)
     joined = rows.df.join(per.where(F.size("dropped") > 0), "rid", "left").withColumn(rows.inner["text"], left)
     return joined.select(*rows.back())
 
 
 def digest(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, n_lines, n_dropped, n_near, n_links and the dropped lines' numbers, for every document."""
+    """For every document: doc_id, n_lines, n_dropped, n_near, n_class_lines, the dropped lines' numbers, and for
+    each of these its class, named by the line that stays (doc_id:number)."""
     rows, per = dropped_lines(docs.select("doc_id", "text"), threshold, shortest)
     lines = F.coalesce(F.size(F.split(rows.col("text"), "\n", -1)), F.lit(0))
     # a null text has no lines
     lines = F.when(rows.col("text").isNull(), 0).otherwise(lines).cast("long")
     joined = rows.df.select("rid", rows.col("doc_id").alias("doc_id"), lines.alias("n_lines")).join(per, "rid", "left")
-    none = F.array().cast("array<int>")
+    listed = lambda told: F.coalesce(F.array_join(F.transform("dropped", told), ","), F.lit(""))
     return joined.select(
-        "doc_id", "n_lines", F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.array_join(F.coalesce("dropped", none).cast("array<string>"), ",").alias("dropped"),
+        "doc_id", "n_lines", F.coalesce(F.array_size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.coalesce("n_class_lines", F.lit(0)).alias("n_class_lines"), listed(lambda x: x["pos"].cast("string")).alias("dropped"),
+        listed(lambda x: F.concat_ws(":", F.coalesce(x["by"].cast("string"), F.lit("")), x["at"].cast("string"))).alias("kept_lines"),
     )

@@ -56,8 +56,8 @@ GATE = np.array([sum(1 << e >> 1 >= edge for edge in SEEN) for e in range(65)],
 PRIOR = 0.05
 RATE = 1.0
 MAP_CELLS, MAP_REACH = 33, 8.0
-STEP = 1 << 14  # bits that are learned from at once
-LEAST_P = 1 / 4096
+STEP = 1 << 13  # bits that are learned from at once
+LEAST_P = 1 / 65536
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xA0761D6478BD642F)
 
@@ -237,7 +237,7 @@ def _row(context: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """weight[bit place, predictor, gate]; table[bit place, gate of the 4-byte context, cell]; and the bits
+    """weight[bit place, predictor, gate]; table[bit place, gate of the piece so far, cell]; and the bits
     that each of these has learned from."""
 
     weight: np.ndarray
@@ -278,7 +278,7 @@ class Mixer:
         spot = (np.clip(z, -MAP_REACH, MAP_REACH - 1e-9) + MAP_REACH) * ((MAP_CELLS - 1) / (2 * MAP_REACH))
         cell = spot.astype(np.int64)
         part = spot - cell
-        gate = gates[3]
+        gate = gates[4]
         refined = self.table[place, gate, cell] * (1 - part) + self.table[place, gate, cell + 1] * part
         return np.clip((mixed + refined) / 2, LEAST_P, 1 - LEAST_P), mixed, (gate, cell, part)
 
@@ -395,8 +395,8 @@ def _by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray
     shard = hashes % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
     ranked = shard[order]
-    first = _firsts(ranked)
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+    edges = [*_firsts(ranked).tolist(), len(order)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(ranked[a]), order[a:b]
 
 

@@ -15,7 +15,7 @@ joined with the list's largest component then meet the other components of the l
 So no pair within a known component is looked at, and no pair across components is left out.
 
 Full sets are worked out where the texts are read, for the documents that some pair asks for: a filter of
-at most ``MOST_BITS`` bits over their ids goes to the readers, and what passes by chance is joined away.
+a bounded size over their ids goes to the readers, and what passes by chance is joined away.
 Shingles are compared as 64-bit hashes; words are hashed through an integer mixer, so that two different
 shingles of a pair of documents are taken for one with a chance of some 1e-13.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, Texts, cut, drop, mix64, range_hashes, slices
+from gridloom.llm.common import LEAST_BITS, Rows, Texts, cut, drop, marked, mix64, range_hashes, slices
 from gridloom.llm.components import components
 from gridloom.shipping import ship
 
@@ -47,7 +47,6 @@ CROWDED = 4  # common values in a prefix
 OFTEN, HALF, MOSTLY = 38, 32, 51  # common values in a sketch; see _crowd_pairs
 RARE_PREFIX = 24
 HUB_ROUNDS = 2
-LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27  # of the filter over ids; a bitmap of Spark's has 2^15
 LEAST_PERCENT = 80  # what the numbers above are made for
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -121,9 +120,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
 def _full_sets(rows: DataFrame, words: int, asked: DataFrame) -> DataFrame:
     """From doc, text: doc, name, shingles of the documents in asked, and of some more."""
     spark = rows.sparkSession
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * asked.count()).bit_length()))
-    bit = lambda doc: F.pmod(F.xxhash64(doc), F.lit(bits))
-    maps = asked.select(bit("doc").alias("bit")).groupBy(F.expr(f"bit div {LEAST_BITS}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"bit % {LEAST_BITS}")).alias("map"))
+    bits, maps = marked(asked, "doc")
     held = np.zeros(bits // 8, dtype=np.uint8)
     for row in maps.toLocalIterator():
         held[row.k * LEAST_BITS // 8 :][: LEAST_BITS // 8] = np.frombuffer(bytes(row.map), np.uint8)
@@ -138,7 +135,7 @@ def _full_sets(rows: DataFrame, words: int, asked: DataFrame) -> DataFrame:
                 sets = shingle_sets(Texts(part.column(1), lower=True), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), _names(sets), _lists(sets)], names=["doc", "name", "shingles"])
 
-    return rows.withColumn("bit", bit("doc")).mapInArrow(run, "doc bigint, name binary, shingles array<bigint>")
+    return rows.withColumn("bit", F.pmod(F.xxhash64("doc"), F.lit(bits))).mapInArrow(run, "doc bigint, name binary, shingles array<bigint>")
 
 
 def _pairs(lists: DataFrame, like: Likeness) -> DataFrame:
