@@ -72,7 +72,7 @@ def cut(df: DataFrame, *gone: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_table = path
     drop(*gone)
@@ -83,7 +83,7 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more."""
     for table in tables:
         if path := getattr(table, "_gridloom_table", None):
-            _drop(table.sparkSession, path)
+            remove(table.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000):
@@ -102,7 +102,19 @@ def marked(ids: DataFrame, column: str) -> tuple[int, DataFrame]:
     return bits, bit.groupBy(F.expr(f"bit div {LEAST_BITS}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"bit % {LEAST_BITS}")).alias("map"))
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose column stands in ids (distinct rows of that column and others): joined are only those that a
+    filter of a bounded size, which is broadcast, lets through."""
+    bits, maps = marked(ids, column)
+    maps = maps.select(F.col("k").alias("_k"), F.col("map").alias("_map"))
+    marks = rows.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(bits))).withColumn("_k", F.expr(f"_bit div {LEAST_BITS}"))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_bit % {LEAST_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return marks.join(F.broadcast(maps), "_k").where(there).select(*rows.columns).join(ids, column)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if the session still runs."""
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():
         return
@@ -170,16 +182,33 @@ def equal_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other:
     return same
 
 
-def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """An integer for each range; two are the same if and only if the bytes are. Hashes find equal ranges,
-    and bytes confirm them."""
-    _, first, name = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    same = equal_ranges(data, starts, ends, first[name])
+def range_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the first range of each class, the class of each range): two ranges are in one class if and only if
+    their bytes, and their kinds, are the same. Hashes find equal ranges, and bytes confirm them."""
+    hashes = range_hashes(data, starts, ends)
+    if kind is not None:
+        hashes = mix64(hashes + kind.astype(np.uint64))
+    _, first, name = np.unique(hashes, return_index=True, return_inverse=True)
+    other = first[name]
+    same = equal_ranges(data, starts, ends, other)
+    if kind is not None:
+        same &= kind == kind[other]
     if not same.all():  # two texts under one hash
-        kept: dict[bytes, int] = {}
+        kept: dict[tuple, int] = {}
+        more = []
         for i in np.flatnonzero(~same).tolist():
-            name[i] = len(first) + kept.setdefault(data[starts[i] : ends[i]].tobytes(), len(kept))
-    return name
+            own = (data[starts[i] : ends[i]].tobytes(), 0 if kind is None else int(kind[i]))
+            if own not in kept:
+                kept[own] = len(first) + len(more)
+                more.append(i)
+            name[i] = kept[own]
+        first = np.concatenate([first, more])
+    return first, name
+
+
+def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """An integer for each range; two are the same if and only if the bytes are."""
+    return range_classes(data, starts, ends)[1]
 
 
 class Texts:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, cut, drop, marked
+from gridloom.llm.common import Rows, among, cut, drop
 from gridloom.llm.components import components
 
 THRESHOLD = 2
@@ -36,7 +36,7 @@ LONG = 64
 BUCKET = 8  # width of a bucket of letter counts; wider than twice the threshold
 
 # The letter classes.
-LETTER_CLASSES = ("eE", "aAtT", "iInN", "oOsS", "rRhH", "lLdDcC", "uUmMgGfF", " ,.")
+LETTER_CLASSES = ("eE", "aA", "tT", "iI", "nN", "oO", "sS", "rR", "hH", "lL", "dD", "uU", "cCmM", "fFgGwW", "bBpPvVyY", " .,")
 
 
 def probe_places(threshold: int) -> list[tuple[int, int, int]]:
@@ -65,13 +65,13 @@ def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int,
 
 
 def _letters(line):
-    """How many letters of each class a line has, up to 255, in one integer."""
-    counts = [F.length(line) - F.length(F.translate(line, c, "")) for c in LETTER_CLASSES]
-    return sum((F.shiftleft(F.least(c, F.lit(255)).cast("long"), 8 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
+    """How many letters of each class a line has, up to 255, eight classes to an integer."""
+    counts = [F.least(F.length(line) - F.length(F.translate(line, c, "")), F.lit(255)).cast("long") for c in LETTER_CLASSES]
+    return F.array(*[sum((F.shiftleft(c, 8 * i) for i, c in enumerate(counts[k : k + 8])), F.lit(0).cast("long")) for k in range(0, len(counts), 8)])
 
 
 def _count(letters, i: int):
-    return F.shiftright(letters, 8 * i).bitwiseAND(F.lit(255))
+    return F.shiftright(F.get(letters, i // 8), 8 * (i % 8)).bitwiseAND(F.lit(255))
 
 
 def _alike(a, b, threshold: int):
@@ -80,6 +80,34 @@ def _alike(a, b, threshold: int):
     return sum((F.abs(_count(a, i) - _count(b, i)) for i in range(len(LETTER_CLASSES))), F.lit(0)) <= 2 * threshold
 
 
+def _once(value, use):
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shared_start(x, y):
+    """How many characters two strings have in common from their start, up to 2^21: halving steps, each of which
+    compares the characters that it would add."""
+    steps, least = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.least(F.length(x), F.length(y))
+
+    def grown(at, step):
+        same = F.when(at + step <= least, F.substring(x, at + 1, step) == F.substring(y, at + 1, step)).otherwise(False)
+        return F.when(same, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), grown)
+
+
+def trimmed(a, b):
+    """The strings a and b as x and y, without what they have in common at their starts and ends; that leaves
+    their edit distance as it is."""
+
+    def turned(c):
+        rest = lambda d, name: F.reverse(F.substring(d[name], d["at"] + 1, F.length(d[name]))).alias(name)
+        return _once(F.struct(c["x"].alias("x"), c["y"].alias("y"), _shared_start(c["x"], c["y"]).alias("at")), lambda d: F.struct(rest(d, "x"), rest(d, "y")))
+
+    return _once(_once(F.struct(a.alias("x"), b.alias("y")), turned), turned)
+
+
 def within(a, b, threshold: int):
     """Whether the edit distance of two strings is at most the threshold. Bit d of state e says that, of a,
     the prefix that ends d - threshold characters off the characters of b read so far matches them with e
@@ -104,7 +132,8 @@ def within(a, b, threshold: int):
     places = F.sequence(F.lit(0), F.length(b) - 1)
     last = F.transform(chars, lambda c: F.aggregate(places, first, lambda s, j: step(c["x"], c["y"], s, j), lambda s: s[f"r{threshold}"]))[0]
     close = F.abs(F.length(a) - F.length(b)) <= threshold
-    return F.when(close, F.getbit(last, F.length(a) - F.length(b) + threshold) == 1).otherwise(False)
+    one_is_empty = (F.length(a) == 0) | (F.length(b) == 0)
+    return F.when(~close, False).when(one_is_empty, True).otherwise(F.getbit(last, F.length(a) - F.length(b) + threshold) == 1)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
@@ -115,7 +144,8 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
             pairs = pairs.join(held.select(F.col("lid").alias(side), F.col(what).alias(f"{what}_{side}")), side)
         if what == "letters":
             pairs = pairs.where(_alike(F.col("letters_a"), F.col("letters_b"), threshold)).select("a", "b")
-    return pairs.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
+    near = _once(trimmed(F.col("line_a"), F.col("line_b")), lambda c: within(c["x"], c["y"], threshold))
+    return pairs.where(near).select("a", "b")
 
 
 def _within_lists(lists: DataFrame, threshold: int) -> DataFrame:
@@ -152,11 +182,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, shortest: int = SHO
     matches = cut(probes.join(lists, "key").where("n > 1 or lid <> center"))
     ids = cut(matches.select("lid").unionByName(matches.select(F.col("center").alias("lid"))).distinct())
     # the texts of these lines, picked by a filter before they are joined
-    bits, maps = marked(ids, "lid")
-    texts = able.select("lid", "line").withColumn("bit", F.pmod(F.xxhash64("lid"), F.lit(bits))).withColumn("k", F.expr("bit div 32768"))
-    byte = F.conv(F.hex(F.expr("substring(map, cast(bit % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    picked = texts.join(F.broadcast(maps), "k").where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    held = cut(picked.select("lid", "line").join(ids, "lid").withColumn("letters", _letters(F.col("line"))), ids)
+    held = cut(among(able.select("lid", "line"), ids, "lid").withColumn("letters", _letters(F.col("line"))), ids)
     links = cut(_verified(matches.where("lid <> center").select(F.col("lid").alias("a"), F.col("center").alias("b")), held, threshold))
     roots = components(links, native=True)
     several = matches.where("n > 1").join(held.select("lid", "letters"), "lid").join(roots, F.col("lid") == F.col("node"), "left")
