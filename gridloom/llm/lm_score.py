@@ -41,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, Texts, crc_mod, cut, drop, mix64, range_hashes, range_names, setting, slices
+from gridloom.llm.common import SPACE, Texts, crc_mod, cut, drop, mix64, range_classes, range_hashes, setting, slices
 from gridloom.shipping import ship
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 21
-SHARD_BYTES = 32 << 20  # of the corpus, behind one shard of vocabulary and contexts
+SHARD_BYTES = 24 << 20  # of the corpus, behind one shard of vocabulary and contexts
 LEAST_SHARDS, MOST_SHARDS = 8, 1 << 20
 PIECE = 32
 ORDERS = 5  # contexts of 1, 2, 3, 4 bytes, piece so far
@@ -92,8 +92,7 @@ class Entries:
 
     def distinct(self) -> tuple[Entries, np.ndarray]:
         """The distinct entries, with their counts added up, and the place of each entry among them."""
-        names = range_names(self.data, self.offsets[:-1], self.offsets[1:])
-        _, first, place = np.unique(names, return_index=True, return_inverse=True)
+        first, place = range_classes(self.data, self.offsets[:-1], self.offsets[1:])
         return self.chosen(first, _added(place, self.counts, len(first))), place
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +119,8 @@ class Entries:
 
 
 def _added(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    total = np.zeros(n, dtype=np.int64)
-    np.add.at(total, place, counts)
-    return total
+    """Sums of counts by place; they are exact up to 2^53."""
+    return np.bincount(place, counts, n).astype(np.int64)
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -167,20 +165,20 @@ def pieces(texts: Texts, train: np.ndarray) -> tuple[Entries, np.ndarray, np.nda
     kind = np.where(_NEW_LINE[before], NEW_LINE, np.where(starts - 1 > begins[owner], _KIND[earlier], GAP))
     kind[starts == begins[owner]] = START
     length = stops - starts
-    parts = length // PIECE + 1
-    whole = np.repeat(np.arange(len(starts)), parts)
-    k = np.arange(len(whole)) - np.repeat(np.cumsum(parts) - parts, parts)
-    p_starts = starts[whole] + PIECE * k
-    p_ends = np.where(k == parts[whole] - 1, stops[whole] + 1, p_starts + PIECE)
-    p_kind = np.where(k > 0, WITHIN, kind[whole])
-    names = range_names(data, p_starts, p_ends) * 8 + p_kind
-    _, first, place = np.unique(names, return_index=True, return_inverse=True)
+    p_starts, p_ends, p_kind, p_owner = starts, stops + 1, kind, owner
+    if (length >= PIECE).any():
+        parts = length // PIECE + 1
+        whole = np.repeat(np.arange(len(starts)), parts)
+        k = np.arange(len(whole)) - np.repeat(np.cumsum(parts) - parts, parts)
+        p_starts = starts[whole] + PIECE * k
+        p_ends = np.where(k == parts[whole] - 1, stops[whole] + 1, p_starts + PIECE)
+        p_kind, p_owner = np.where(k > 0, WITHIN, kind[whole]), owner[whole]
+    first, place = range_classes(data, p_starts, p_ends, p_kind)
     lengths = p_ends[first] - p_starts[first] + 1
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
     own = data[np.maximum(np.repeat(p_starts[first] - 1, lengths) + inside, 0)]
     own[offsets[:-1]] = p_kind[first]
-    p_owner = owner[whole]
     found = Entries(own, offsets, _added(place, train[p_owner], len(first)))
     ones = np.concatenate([[0], np.cumsum(data == 1)])
     long = np.flatnonzero((length >= PIECE) | (length > 0) & (ones[stops] > ones[starts]))
@@ -468,8 +466,8 @@ def _vocabulary(asked: DataFrame) -> DataFrame:
         found, place = Entries.joined(parts).distinct()
         is_word, starts, ends = found.words()
         words = np.flatnonzero(is_word)
-        _, name = np.unique(range_names(found.data, starts[words], ends[words]), return_inverse=True)
-        counts = _added(name, found.counts[words], int(name.max(initial=-1)) + 1)
+        first, name = range_classes(found.data, starts[words], ends[words])
+        counts = _added(name, found.counts[words], len(first))
         known = np.zeros(len(is_word), np.int64)
         known[words] = counts[name]
         shard, edges = group.column("shard")[0].as_py(), np.cumsum([len(p.counts) for p in parts])[:-1]
