@@ -7,8 +7,9 @@ conjunction intersects the postings. Rules without mandatory trigrams scan every
 over candidates only, on whole texts. Offsets follow from the lengths of matches and of what lies between
 them, summed in order per row and rule.
 
-Cases: a null text counts as empty and has no spans. Rows that repeat are scanned each on their own (the
-row, not doc_id, is the key). Overlapping spans of different kinds all stay; spans are ordered by start,
+Cases: a null text counts as empty and has no spans; a text of any length is scanned whole. Rows that repeat
+are scanned each on their own (the row, not doc_id, is the key). Columns of docs stay, but for those named as
+results. Overlapping spans of different kinds all stay; spans are ordered by start,
 then by kind in the order listed. An empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, cut
+from gridloom.llm.common import Rows, among, cut
 
 
 @dataclass(frozen=True)
@@ -165,23 +166,33 @@ def _lengths(matches, least: int):
     )
 
 
-def spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> tuple[Rows, DataFrame]:
-    """(keyed docs, table of rid, kind index, start, end): all spans that count, end exclusive."""
-    rows = Rows(docs, ("text",))
-    texts = rows.df.select("rid", F.coalesce(rows.col("text"), F.lit("")).alias("text"))
-    indexed = _candidates(texts, rules).groupBy("rid").agg(F.collect_set("rule").alias("rules"))
-    scanned = [k for k, r in enumerate(rules) if frozenset() in trigram_query(r.regex)]
-    joined = texts.join(indexed, "rid", "left")
+def _matches(texts: DataFrame, rules: tuple[Rule, ...], chosen: list[int], asked) -> DataFrame:
+    """rid, kind (of the chosen ones), pos, part: all matches in texts, in order, whether they count or not."""
     pieces = []
-    for k, rule in enumerate(rules):
-        asked = F.lit(True) if k in scanned else F.coalesce(F.array_contains("rules", k), F.lit(False))
+    for k in chosen:
+        rule = rules[k]
         regex = F.lit(rule.regex)
         groups = F.regexp_extract_all("text", regex, F.lit(rule.group))
         whole = F.regexp_extract_all("text", regex, F.lit(0)) if rule.group else groups
         between = F.split("text", rule.regex, -1)
         parts = _lengths(F.arrays_zip(whole.alias("whole"), groups.alias("counted"), F.slice(between, F.lit(1), F.size(whole)).alias("gap")), rule.least)
-        pieces.append(F.when(asked & F.col("text").rlike(rule.regex), F.struct(F.lit(k).alias("kind"), parts.alias("parts"))))
-    matched = joined.select("rid", F.explode(F.array_compact(F.array(*pieces))).alias("m")).select("rid", "m.kind", F.posexplode("m.parts").alias("pos", "part"))
+        pieces.append(F.when(asked(k) & F.col("text").rlike(rule.regex), F.struct(F.lit(k).alias("kind"), parts.alias("parts"))))
+    if not pieces:
+        pieces = [F.lit(None).cast("struct<kind:int,parts:array<struct<gap:int,size:int,counts:boolean>>>")]
+    found = texts.select("rid", F.explode(F.array_compact(F.array(*pieces))).alias("m"))
+    return found.select("rid", "m.kind", F.posexplode("m.parts").alias("pos", "part"))
+
+
+def spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> tuple[Rows, DataFrame]:
+    """(keyed docs, table of rid, kind index, start, end): all spans that count, end exclusive."""
+    rows = Rows(docs, ("text",))
+    texts = rows.df.select("rid", F.coalesce(rows.col("text"), F.lit("")).alias("text"))
+    indexed = cut(_candidates(texts, rules).groupBy("rid").agg(F.collect_set("rule").alias("rules")))
+    scanned = [k for k, r in enumerate(rules) if frozenset() in trigram_query(r.regex)]
+    # rules without mandatory trigrams read every text where it is; the others read the candidates' texts
+    matched = _matches(texts, rules, scanned, lambda k: F.lit(True))
+    candidates = among(texts, indexed, "rid")
+    matched = matched.unionByName(_matches(candidates, rules, [k for k in range(len(rules)) if k not in scanned], lambda k: F.array_contains("rules", k)))
     ordered = W.partitionBy("rid", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum(F.col("part.gap") + F.col("part.size")).over(ordered)
     placed = matched.select("rid", "kind", "part", end.alias("end")).where("part.counts")
