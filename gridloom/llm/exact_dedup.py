@@ -3,12 +3,13 @@
 Every text is read as fixed-size blocks of its UTF-8 bytes. Distinct blocks are sorted and numbered, so
 equal blocks, and only those, share an integer name. Adjacent names are then paired and the pairs named
 in the same way, level by level, until each text is one integer; together with the byte length that is
-an identity without collisions (no hash decides anything). As in prefix doubling, a text drops out of
-the recursion as soon as its names so far are unique: its length and first block suffice for most.
+an identity without collisions (no hash decides anything). A text whose length and first block no other
+text has is unique and enters no level; the others leave when they are one name.
 
 Cases: a null text counts as empty; empty texts equal each other. Rows that repeat a doc_id are rows of
 their own; if the largest doc_id of a group stands in several rows, one of them is kept. A null doc_id
-is smaller than any other. An empty table gives an empty result. Other columns are not touched.
+is smaller than any other. A text of any length is named block by block. An empty table gives an empty result.
+Other columns stay, but for those named as results.
 """
 
 from __future__ import annotations

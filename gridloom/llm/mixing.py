@@ -6,8 +6,9 @@ every row on its source's line of words. The line is cut at the source's budget:
 the rows below the cut; the row on the cut gives the words that are left. No source is ever in one task:
 a range holds some thousand rows, and per source only one sum for each range is gathered.
 
-Cases: a null text has size 0; a null source is a source of its own, last in order; null doc_ids count as
-empty text in the key. Rows that repeat a doc_id share a key and are ordered by size. Sources without
+Cases: a null text has size 0, a text of any length its whole size; a null source is a source of its own, last
+in order; rows without doc_id get their key from the text. Rows that repeat a doc_id share a key and are
+ordered by size. Columns of docs stay, but for those named as results. Sources without
 words get target 0. An empty table gives an empty result.
 """
 
@@ -59,7 +60,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: str = SEED) -> DataFrame:
 
 def _sized(rows: Rows, seed: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(rows.col("text"), F.lit(WORD_SQL)), F.lit(0)).cast("long")
-    name = F.concat(F.coalesce(rows.col("doc_id").cast("string"), F.lit("")), F.lit("/" + seed))
+    # rows without an id are spread by their texts
+    unnamed = F.concat(F.lit("text "), F.md5(F.coalesce(rows.col("text"), F.lit("")).cast("binary")))
+    name = F.concat(F.coalesce(rows.col("doc_id").cast("string"), unnamed), F.lit("/" + seed))
     return cut(rows.df.select("rid", rows.col("source").alias("source"), size.alias("size"), F.md5(name.cast("binary")).alias("key")))
 
 
@@ -105,7 +108,7 @@ def digest(docs: DataFrame) -> DataFrame:
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || '/mix-1') AS key
+         md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) || '/mix-1') AS key
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk FROM per),

@@ -10,8 +10,10 @@ less likely content than not count as boilerplate; then all weights are fitted t
 driver receives feature bits of lines, never texts, and at most ``TRAIN_LINES`` lines.
 
 Cases: a null text has no words and fails the base rules, as an empty one does. Rows that repeat are
-judged alike. Without labels of both kinds all lines are content and only the base rules decide. An empty
-table gives an empty result.
+judged alike, whatever their doc_id, null included. Words, lines and windows count as equal only if their
+bytes are. A text of any length is one sequence of lines. Without labels of both kinds all lines are content
+and only the base rules decide. Columns of docs stay, but for those named as results. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

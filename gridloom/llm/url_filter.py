@@ -1,12 +1,13 @@
 """URL filters: a weighted vocabulary over a table of host rules.
 
 One Aho-Corasick automaton holds all strict and soft terms and reads every url once. A hit counts where
-neither neighbour is a letter or digit. One strict term, or at least ``SOFT_LIMIT`` distinct soft terms,
-reject a url that no host rule has decided. Terms and rules are parameters of fixed size; each worker
-builds its automaton once.
+neither neighbour is a letter or digit. A strict term weighs as much as ``SOFT_LIMIT`` soft ones: one of
+them, or so many distinct soft terms, reject a url that no host rule has decided. The vocabulary and the
+rules are parameters (``read_terms`` reads a vocabulary from a file); each worker builds its automaton once.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and is judged by the
-vocabulary alone (null: allow). Repeated rows are judged alike. An empty table gives an empty result.
+vocabulary alone (null: allow). Repeated rows are judged alike; a url of any length is read whole. Columns
+named n_strict or n_soft are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.shipping import ship
@@ -24,6 +25,8 @@ from gridloom.shipping import ship
 STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "malware", "phishing", "warez", "cheap-pills", "spam-farm", "link-farm", "torrent")
 SOFT_TERMS = ("adult", "bet", "bonus", "cheap", "click", "dating", "deal", "free", "jackpot", "loan", "lottery", "pills", "poker", "prize", "promo", "replica", "sex", "spam", "win")
 SOFT_LIMIT = 2
+MOST_TERMS = 1_000_000
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
@@ -34,17 +37,35 @@ def _bounded(text: str, end: int, length: int) -> bool:
     return not (left.isascii() and left.isalnum()) and not (right.isascii() and right.isalnum())
 
 
+_built: dict[tuple, ahocorasick.Automaton] = {}
+
+
 def automaton(strict=STRICT_TERMS, soft=SOFT_TERMS):
-    found = ahocorasick.Automaton()
-    for i, term in enumerate((*strict, *soft)):
-        found.add_word(term, (i, len(term), i < len(strict)))
-    found.make_automaton()
-    return found
+    """The automaton of a vocabulary, built once in a worker."""
+    key = (tuple(strict), tuple(soft))
+    if key not in _built:
+        found = ahocorasick.Automaton()
+        for i, term in enumerate((*strict, *soft)):
+            found.add_word(term, (i, len(term), i < len(strict)))
+        found.make_automaton()
+        _built.clear()
+        _built[key] = found
+    return _built[key]
+
+
+def read_terms(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a file with a term and its weight, strict or soft, in each line; # begins a
+    comment. A vocabulary may have ``MOST_TERMS``."""
+    lines = [r.value.split("#")[0].split() for r in spark.read.text(path).limit(MOST_TERMS + 1).collect()]
+    words = [x for x in lines if x]
+    if len(lines) > MOST_TERMS or any(len(x) != 2 or x[1] not in ("strict", "soft") for x in words):
+        raise ValueError(f"not a vocabulary: {path}")
+    return tuple(x[0].translate(_LOWER) for x in words if x[1] == "strict"), tuple(x[0].translate(_LOWER) for x in words if x[1] == "soft")
 
 
 def count_terms(found, url: str | None) -> tuple[int, int]:
     """Distinct strict and soft terms of a url (ASCII letters in either case)."""
-    text = "".join(c.lower() if c.isascii() else c for c in url or "")
+    text = (url or "").translate(_LOWER)
     hits = {(i, is_strict) for end, (i, length, is_strict) in found.iter(text) if _bounded(text, end, length)}
     strict = sum(is_strict for _, is_strict in hits)
     return strict, len(hits) - strict
@@ -52,6 +73,9 @@ def count_terms(found, url: str | None) -> tuple[int, int]:
 
 def with_term_counts(pages: DataFrame, url: str, strict=STRICT_TERMS, soft=SOFT_TERMS) -> DataFrame:
     """pages with n_strict and n_soft."""
+    if len(strict) + len(soft) > MOST_TERMS:
+        raise ValueError(f"a vocabulary may have {MOST_TERMS} terms")
+    pages = pages.drop("n_strict", "n_soft")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(strict, soft)
@@ -65,10 +89,10 @@ def with_term_counts(pages: DataFrame, url: str, strict=STRICT_TERMS, soft=SOFT_
     return pages.mapInArrow(run, out)
 
 
-def judge(pages: DataFrame, rules=RULES, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, soft_limit: int = SOFT_LIMIT, strict=STRICT_TERMS, soft=SOFT_TERMS) -> DataFrame:
     """page_id, host, path, rule, verdict, n_strict, n_soft for every row."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    parts = with_term_counts(pages.select("page_id", "url"), "url").withColumn("rest", F.coalesce(rest, F.lit("")))
+    parts = with_term_counts(pages.select("page_id", "url"), "url", strict, soft).withColumn("rest", F.coalesce(rest, F.lit("")))
     host = F.translate(F.regexp_extract("rest", r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1)
     parts = parts.withColumn("host", host).withColumn("path", path)

@@ -225,9 +225,14 @@ def test_line_dedup_joins_large_groups_without_their_pairs(spark, monkeypatch):
 def test_banded_distance(spark, threshold):
     rng = random.Random(threshold)
     pairs = [("".join(rng.choice("ab") for _ in range(rng.randint(1, 9))), "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))) for _ in range(150)]
+    pairs += [("", ""), ("", "ab"), ("abc", ""), ("é" * 40 + "x" + "日" * 30, "é" * 40 + "日" * 30), ("a" * 3000 + "b" + "a" * 3000, "a" * 6001)]
     table = spark.createDataFrame(pairs, "x string, y string")
-    found = table.select("x", "y", line_dedup.within(F.col("x"), F.col("y"), threshold).alias("near")).collect()
-    assert all(r.near == (edits(r.x, r.y) <= threshold) for r in found)
+    near = line_dedup.within(F.col("x"), F.col("y"), threshold)
+    rows = table.withColumn("near", near).withColumn("t", line_dedup.trimmed(F.col("x"), F.col("y"))).select("x", "y", "near", F.col("t.x").alias("p"), F.col("t.y").alias("q"))
+    rows = rows.withColumn("still", line_dedup.within(F.col("p"), F.col("q"), threshold)).collect()
+    for r in rows:
+        assert r.near == r.still == (len(r.x) > 5000 or edits(r.x, r.y) <= threshold)
+        assert not (r.p and r.q and (r.p[0] == r.q[0] or r.p[-1] == r.q[-1]))
 
 
 def test_text_statistics():
@@ -613,3 +618,56 @@ def test_quality_rules_learn_from_long_documents(spark):
     assert quality_rules.train(made(spark, rows), labels).weight.any()
     assert quality_rules.train(made(spark, rows), labels, most_lines=5000).weight.any()
     assert not quality_rules.train(made(spark, rows), labels, most_lines=2000).weight.any()
+
+
+def test_null_ids_and_clashing_names(spark):
+    rows, table, labels = labelled(spark, 60)
+    table = table.unionByName(made(spark, [(None, rows[0][1]), (None, rows[5][1])]))
+    ruled = quality_rules.digest(table, labels).collect()
+    scored = quality_model.digest(table, labels).collect()
+    assert len(ruled) == len(scored) == 62 + len(ODD)
+    alike = lambda found, i: {(r.score if hasattr(r, "score") else r.n_words) for r in found if r.doc_id in (None, i)}
+    of = {r.doc_id: r for r in scored if r.doc_id is not None}
+    assert {r.score for r in scored if r.doc_id is None} == {of[0].score, of[5].score} and alike(ruled, 0)
+    clashes = table.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("n_words", "kept", "score", "ids", "decoded", "n_tokens", "rid", "doc_0", "stats")])
+    field = quality_rules.train(table, labels)
+    ruled = quality_rules.with_rules(clashes, field)
+    assert ruled.count() == 62 + len(ODD) and set(clashes.columns) <= set(ruled.columns) and ruled.first().rid == "rid" and ruled.first().doc_0 == "doc_0"
+    assert quality_model.with_scores(clashes, quality_model.train(table, labels)).schema["score"].dataType.simpleString() == "double"
+    encoded = sentencepiece_fst.decode(sentencepiece_fst.encode(clashes))
+    assert encoded.count() == 62 + len(ODD) and encoded.first().kept == "kept" and encoded.schema["decoded"].dataType.simpleString() == "string"
+    pages = spark.createDataFrame([(1, "http://a.org/casino", "x", "y")], "page_id long, url string, n_strict string, n_soft string")
+    assert url_filter.with_term_counts(pages, "url").first()[2:] == (1, 0) and url_filter.judge(pages).first().verdict == "block"
+
+
+def test_a_text_longer_than_every_slice(spark):
+    """A text of 5 MB and a word of 300 KB stand among short ones."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    long = " ".join(rng.choices(vocabulary, k=650_000))
+    assert len(long) > 5_000_000
+    rows = [(0, "short one"), (1, long), (2, long + " more"), (3, long), (4, "x" * 300_000), (5, "short one")]
+    table = made(spark, rows)
+    near = {r.doc_id: r for r in near_dup.digest(table).collect()}
+    assert [near[i].component_id for i in range(6)] == [0, 1, 1, 1, 4, 0] and near[1].n_shingles == len({tuple(words(long)[k : k + 4]) for k in range(649_997)})
+    assert {r.doc_id: r.keep_id for r in exact_dedup.digest(table).collect()} == {0: 5, 1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
+    scores = {r.doc_id: r for r in lm_score.digest(table).collect()}
+    assert scores[1].n_tokens == 650_001 and scores[4].n_tokens == 2 and scores[1].score == scores[3].score
+    ruled = {r.doc_id: r for r in quality_rules.digest(table, made(spark, [(0, 1)], "doc_id long, quality int")).collect()}
+    assert ruled[1].n_words == 650_000 and ruled[4].word_chars == 300_000
+    encoded = {r.doc_id: r for r in sentencepiece_fst.digest(table).collect()}
+    assert all(r.round_trip for r in encoded.values()) and encoded[1].ids == encoded[3].ids
+    assert {r.doc_id: r.taken for r in mixing.digest(table.withColumn("source", F.lit("a"))).collect()}[1] == 650_000
+    assert line_dedup.digest(table).where("n_dropped = 1").count() == 2 and secret_scan.digest(table).count() == 6
+
+
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    path = tmp_path / "terms.txt"
+    path.write_text("# a vocabulary\nBad strict\nodd soft # twice\nrare soft\n")
+    terms = url_filter.read_terms(spark, str(path))
+    assert terms == (("bad",), ("odd", "rare"))
+    pages = spark.createDataFrame([(1, "http://a.org/BAD"), (2, "http://a.org/odd"), (3, "http://a.org/odd-rare"), (4, "http://a.org/casino")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(pages, strict=terms[0], soft=terms[1]).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    path.write_text("bad often\n")
+    with pytest.raises(ValueError):
+        url_filter.read_terms(spark, str(path))
