@@ -1,7 +1,14 @@
 """The corpus pipeline: documents pass the quality classifier, exact and near dedup, mixing, and encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's docs, so that a lost executor never costs more than one stage."""
+as the next stage's docs, so that a lost executor never costs more than one stage.
+
+Cases, in every stage: columns of other names, whatever they are called, pass through (the last stage replaces
+ids and n_tokens); an empty table gives an empty one; texts of any length pass whole. A null text counts as
+empty, which the classifier judges like any text; of several, exact dedup keeps one; it has no near copies;
+its size is 0, so that mixing takes none of it. Rows without doc_id count as the smallest id in exact dedup, and
+are nobody's near copies. Rows that repeat a doc_id are rows of their own in all but near dedup, which takes
+them for one document."""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, mixing, near_dup, quality_model, sentencepiece_fst
-from gridloom.llm.common import load, shared_dir
+from gridloom.llm.common import load, remove, shared_dir
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = load(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what has been read through goes
+            remove(spark, before)
+        before = path
     return docs
