@@ -14,14 +14,15 @@ from gridloom import __version__, formats
 from gridloom.functions.colour import checked, hex_colour, parse_colour, parse_size
 from gridloom.operators import align as _align
 from gridloom.operators import cleanup, colours, compare, grid, scale, segment, stats
-from gridloom.sources import framesets
+from gridloom.sources import files, framesets
+from gridloom.sources.files import absolute
 from gridloom.sources.manifests import read_manifests, write_manifest
 from gridloom.sources.palettes import palette_table, read_palette, write_palette
 from gridloom.sources.png import images_of, pixels_of, read_images, write_images
 
 COMMANDS: dict[str, Callable] = {}
 # The names of stages in output paths.
-STAGES = ("background", "prep", "snap", "palette", "normalize", "resize", "slice", "segment", "align", "diff", "export", "inspect")
+STAGES = ("align", "diff", "export", "generate", "normalize", "palette", "prep", "resize", "rows", "segment", "slice", "snap")
 
 
 def command(name: str):
@@ -59,29 +60,24 @@ def envelope(call: Callable, *args, **options) -> dict:
 def subject_of(path: str) -> str:
     """The subject in out/<subject>/<stage> or out/<stage>/<subject>, from the right; else the file's name
     without its extension; else artifact."""
-    parts = [p for p in os.path.normpath(path).split(os.sep) if p]
-    for i in range(len(parts) - 3, -1, -1):
-        if parts[i] == "out":
-            first, second = parts[i + 1], parts[i + 2]
-            if os.path.splitext(second)[0] in STAGES or second in STAGES:
-                return first
-            if first in STAGES:
-                return os.path.splitext(second)[0]
-    stem = os.path.splitext(parts[-1])[0] if parts else ""
-    return stem if stem not in ("", ".", "..") else "artifact"
+    clean = os.path.normpath(path) if path else "."
+    parts = [p for p in clean.split(os.sep) if p]
+    for at in (i for i in range(len(parts) - 3, -1, -1) if parts[i] == "out"):
+        for name, other in ((parts[at + 1], parts[at + 2]), (parts[at + 2], parts[at + 1])):
+            if other in STAGES:
+                return name
+    last = path.rpartition(os.sep)[2]
+    extension = last[last.rfind(".") :] if "." in last else ""
+    stem = os.path.basename(clean).removesuffix(extension) if extension else os.path.basename(clean)
+    return stem if stem not in ("", ".") else "artifact"
 
 
 def out_path(path: str, stage: str, name: str | None = None) -> str:
     return os.path.join("out", subject_of(path), stage, *([name] if name else []))
 
 
-def _absolute(path: str) -> str:
-    """Spark's JVM and its workers have working directories of their own."""
-    return path if "://" in path else os.path.abspath(path)
-
-
 def _pixels(spark: SparkSession, path: str) -> DataFrame:
-    images = read_images(spark, _absolute(path)).cache()
+    images = read_images(spark, absolute(path)).cache()
     if images.isEmpty():
         raise ValueError(f"no image: {path}")
     return pixels_of(images)
@@ -90,8 +86,8 @@ def _pixels(spark: SparkSession, path: str) -> DataFrame:
 def _save(px: DataFrame, out: str, dry_run: bool) -> None:
     """One image to one path."""
     if not dry_run:
-        folder, name = os.path.split(_absolute(out))
-        write_images(images_of(px.withColumn("image_id", F.lit(os.path.splitext(name)[0]))), folder).collect()
+        folder, name = os.path.split(absolute(out))
+        write_images(images_of(px.withColumn("image_id", F.lit(os.path.splitext(name)[0]))), folder)
 
 
 def _one(df: DataFrame, drop: tuple[str, ...] = ("image_id",)) -> dict:
@@ -118,6 +114,7 @@ def inspect_frame(spark, path: str, alpha_threshold: int = 8) -> dict:
 @command("inspect sheet")
 def inspect_sheet(spark, path: str, grid_size: str = "auto") -> dict:
     """Size, colours, alpha and grid of a sheet."""
+    grid_size = grid_size.lower()
     declared = None if grid_size in ("auto", "none") else parse_size(grid_size)
     found = _nested(_one(grid.inspect_sheet(_pixels(spark, path), declared)))
     keys = ("cols", "rows", "cell_w", "cell_h", "offset_x", "offset_y", "confidence")
@@ -138,7 +135,7 @@ def prep_alpha(spark, path: str, out: str | None = None, threshold: int = 128, d
     """Alpha below the threshold becomes transparent."""
     checked("threshold", threshold, 1, 255)
     px = _pixels(spark, path)
-    report = _changed(px, cleanup.threshold_alpha(px, threshold), out or out_path(path, "prep", "alpha.png"), dry_run, ("fractional_pixels_zeroed", "changed_pixels"))
+    report = _changed(px, cleanup.threshold_alpha(px, threshold), out or out_path(path, "prep", "clean.png"), dry_run, ("fractional_pixels_zeroed", "changed_pixels"))
     return report | {"alpha_threshold": threshold}
 
 
@@ -147,7 +144,7 @@ def prep_background(spark, path: str, out: str | None = None, method: str = "aut
     """The background becomes transparent, by key colour or from the edges."""
     px, colour = _pixels(spark, path), parse_colour(key) if key else None
     after = cleanup.remove_background(px, method, colour, tolerance, connectivity)
-    report = _changed(px, after, out or out_path(path, "background", "background.png"), dry_run, ("removed_pixels", "changed_pixels"))
+    report = _changed(px, after, out or out_path(path, "prep", "background.png"), dry_run, ("removed_pixels", "changed_pixels"))
     used = method if method != "auto" else "key" if colour else "edge"
     report |= {"method": used, "tolerance": tolerance, "connectivity": connectivity}
     return report | ({"key_color": "#{:02X}{:02X}{:02X}".format(*colour)} if colour else {})
@@ -157,9 +154,9 @@ def prep_background(spark, path: str, out: str | None = None, method: str = "aut
 def snap_pixels(spark, path: str, palette: str, out: str | None = None, threshold: int = 128, dry_run: bool = False) -> dict:
     """Alpha threshold, then every visible pixel takes its nearest palette colour."""
     checked("threshold", threshold, 1, 255)
-    px, listed = _pixels(spark, path), read_palette(spark, _absolute(palette))
+    px, listed = _pixels(spark, path), read_palette(spark, absolute(palette))
     after = colours.snap(cleanup.threshold_alpha(px, threshold), palette_table(spark, listed))
-    report = _changed(px, after, out or out_path(path, "snap", "pixels.png"), dry_run, ("fractional_pixels_zeroed", "changed_pixels"))
+    report = _changed(px, after, out or out_path(path, "snap", "snapped.png"), dry_run, ("fractional_pixels_zeroed", "changed_pixels"))
     return report | {"palette_size": len(listed), "alpha_threshold": threshold}
 
 
@@ -178,7 +175,7 @@ def snap_scale(spark, path: str, out: str | None = None, factor: str | int = "au
         raise ValueError("factor must be 1, 2, 3, 4 or 8 and divide the image")
     found = grid.detect_scale(px).first()["factor"]
     used = forced or found
-    out = out or out_path(path, "snap", "scale.png")
+    out = out or out_path(path, "snap", "native.png")
     _save(scale.downscale(px, used), out, dry_run)
     return {"out": out, "detected_factor": found, "forced_factor": forced, "in_w": w, "in_h": h, "out_w": w // used, "out_h": h // used, "dry_run": dry_run}
 
@@ -190,16 +187,16 @@ def palette_extract(spark, path: str, out: str | None = None, max_colors: int =
     rows = colours.extract_palette(_pixels(spark, path), max_colors).orderBy("ord").select("r", "g", "b", hex_colour().alias("hex")).collect()
     if not rows:
         raise ValueError("the image has no visible colours")
-    out = out or out_path(path, "palette", f"palette.{format}")
+    out = out or out_path(path, "palette", f"extracted-{max_colors}.{format.lower()}")
     if not dry_run:
-        write_palette([(r.r, r.g, r.b) for r in rows], out, format)
+        write_palette(spark, [(r.r, r.g, r.b) for r in rows], out if out == "-" else absolute(out), format)
     return {"colors": [r.hex for r in rows], "count": len(rows), "format": format, "out": out, "dry_run": dry_run}
 
 
 @command("palette apply")
 def palette_apply(spark, path: str, palette: str, out: str | None = None, dither: bool = False, dry_run: bool = False) -> dict:
     """Visible pixels in the palette's colours, dithered if asked."""
-    px, listed = _pixels(spark, path), read_palette(spark, _absolute(palette))
+    px, listed = _pixels(spark, path), read_palette(spark, absolute(palette))
     after = colours.dither(px, listed) if dither else colours.snap(px, palette_table(spark, listed))
     out = out or out_path(path, "palette", "applied.png")
     _save(after, out, dry_run)
@@ -214,7 +211,7 @@ def normalize_detail(spark, path: str, out: str | None = None, target_height: in
     after = scale.normalize_detail(px, target_height, factor, alpha_threshold)
     (w, h), (ow, oh) = _sizes(px), _sizes(after)
     height = lambda p: _one(stats.bbox(p, max(alpha_threshold - 1, 0)))["bbox_h"]
-    out = out or out_path(path, "normalize", "normalized.png")
+    out = out or out_path(path, "normalize", "detail.png")
     _save(after, out, dry_run)
     sizes = {"factor": w // ow, "input_w": w, "input_h": h, "output_w": ow, "output_h": oh, "input_bbox_h": height(px), "output_bbox_h": height(after)}
     return {"out": out} | sizes | {"alpha_threshold": alpha_threshold, "unchanged": w == ow, "dry_run": dry_run}
@@ -230,16 +227,17 @@ def resize_image(spark, path: str, out: str | None = None, up: int | None = None
     px = _pixels(spark, path)
     after = scale.resize(px, up, down, method)
     (w, h), (ow, oh) = _sizes(px), _sizes(after)
-    out = out or out_path(path, "resize", "resized.png")
+    out = out or out_path(path, "resize", "image.png")
     _save(after, out, dry_run)
     return {"out": out} | _direction(up, down) | {"input_w": w, "input_h": h, "output_w": ow, "output_h": oh, "unchanged": (w, h) == (ow, oh), "dry_run": dry_run}
 
 
 def _header(spark: SparkSession, folder: str) -> dict:
-    path = os.path.join(_absolute(folder), "manifest.json")
-    if not os.path.exists(path):
+    path = os.path.join(absolute(folder), "manifest.json")
+    if not files.exists(spark, path):
         return {"source": folder}
-    return read_manifests(spark, path).select("version", "source", "cell_w", "cell_h", "cols", "rows").first().asDict()
+    found = read_manifests(spark, path).select("version", "source", "cell_w", "cell_h", "cols", "rows", "sheet", "sheet_size").first().asDict(recursive=True)
+    return {k: v for k, v in found.items() if v is not None or not k.startswith("sheet")}
 
 
 def _set(frames: DataFrame) -> DataFrame:
@@ -253,8 +251,8 @@ def _write_set(px: DataFrame, header: dict, frames: list[dict], out: str, dry_ru
     """frame_NNN.png of pixels with frame, and the manifest."""
     if not dry_run:
         named = images_of(px, ["frame"]).withColumn("name", F.format_string("frame_%03d", "frame"))
-        write_images(named, _absolute(out), "name").collect()
-        write_manifest(os.path.join(out, "manifest.json"), header, frames)
+        write_images(named, absolute(out), "name")
+        write_manifest(px.sparkSession, os.path.join(absolute(out), "manifest.json"), header, frames)
 
 
 def _metadata(frames: DataFrame) -> list[dict]:
@@ -263,17 +261,19 @@ def _metadata(frames: DataFrame) -> list[dict]:
 
 
 @command("resize frames")
-def resize_frames(spark, folder: str, out: str | None = None, up: int | None = None, down: int | None = None, dry_run: bool = False) -> dict:
+def resize_frames(spark, folder: str, out: str | None = None, up: int | None = None, down: int | None = None, method: str = "nearest", dry_run: bool = False) -> dict:
     """A frame set larger or smaller by a whole factor, pivots and cells with it."""
-    frames = framesets.read_frames(spark, _absolute(folder)).cache()
-    after = scale.resize(_set(frames).withColumn("image_id", F.col("frame")), up, down).drop("image_id")
+    frames = framesets.read_frames(spark, absolute(folder)).cache()
+    after = scale.resize(_set(frames).withColumn("image_id", F.col("frame")), up, down, method.lower()).drop("image_id")
     header, listed = _header(spark, folder), _metadata(frames)
     scaled = (lambda v: v * up) if up is not None else (lambda v: v // down)
-    largest = after.agg(F.max("w"), F.max("h")).first()
-    cells = {k: scaled(header[k]) if header.get(k) else v for k, v in zip(("cell_w", "cell_h"), largest, strict=True)}
-    warnings = [f"frame {f['index']} has no pivot" for f in listed if f["pivot"] is None] if "version" in header else []
+    # a cell that is missing, or scaled to nothing, is as large as the first frame
+    first = after.groupBy("frame").agg(F.first("w").alias("w"), F.first("h").alias("h")).orderBy("frame").first()
+    cells = {k: scaled(header.get(k) or 0) or v for k, v in (("cell_w", first.w), ("cell_h", first.h))}
+    paths = [r.path for r in frames.orderBy("index").select("path").collect()]
+    warnings = [f'frame "{p}" has no pivot; leaving manifest pivot absent' for p, f in zip(paths, listed, strict=True) if f["pivot"] is None] if "version" in header else []
     moved = [f | ({"pivot": {c: scaled(v) for c, v in f["pivot"].items()}} if f["pivot"] else {}) for f in listed]
-    defaults = {"cols": header.get("cols") or len(listed), "rows": header.get("rows") or 1}
+    defaults = {"cols": header.get("cols") or len(listed), "rows": header.get("rows") or 1, "source": header.get("source") or folder}
     out = out or out_path(folder, "resize")
     _write_set(after, header | cells | defaults, moved, out, dry_run)
     return {"out": out} | _direction(up, down) | {"frames": len(listed)} | cells | {"unchanged": (up or down) == 1, "warnings": warnings, "dry_run": dry_run}
@@ -317,7 +317,7 @@ def segment_subjects(
 ) -> dict:
     """An image's subjects, each in a cell of its own."""
     px = _pixels(spark, path)
-    least = None if min_area == "auto" else int(min_area)
+    least = None if str(min_area).lower() in ("auto", "") else checked("min area", int(min_area), 0)
     mask = segment.dilate(segment.erode(cleanup.alpha_mask(px, checked("threshold", threshold, 0, 255)), erode), dilate)
     found = segment.component_boxes(segment.components(mask)).cache()
     kept = segment.ordered(segment.filter_components(found, least), sort).cache()
@@ -325,8 +325,8 @@ def segment_subjects(
     if not n:
         raise ValueError("no subjects")
     if expected and n != expected:
-        raise ValueError(f"expected {expected} subjects, found {n}: try a {'larger' if n > expected else 'smaller'} min_area")
-    frames = segment.to_cells(px, kept, None if cell == "auto" else parse_size(cell), anchor, fit).drop("image_id")
+        raise ValueError(f"expected {expected} subjects, found {n}: {'raise' if n > expected else 'lower'} min_area or threshold (now {threshold})")
+    frames = segment.to_cells(px, kept, None if cell.lower() == "auto" else parse_size(cell), anchor, fit).drop("image_id")
     rows = kept.orderBy("idx").collect()
     size = frames.select("w", "h").first()
     listed = [
@@ -348,7 +348,7 @@ def segment_subjects(
 @command("align frames")
 def align_frames(spark, folder: str, out: str | None = None, anchor: str = "feet", dry_run: bool = False) -> dict:
     """A frame set on one canvas, pivots in one place."""
-    frames = framesets.read_frames(spark, _absolute(folder)).cache()
+    frames = framesets.read_frames(spark, absolute(folder)).cache()
     px = _set(frames)
     placed = _align.placements(_align.pivots(px, anchor)).orderBy("frame").collect()
     target = {"x": placed[0].target_x, "y": placed[0].target_y}
@@ -366,7 +366,7 @@ def diff_frames(spark, a: str, b: str, out: str | None = None, tolerance: int =
     """Where two images differ, as numbers and as an overlay."""
     one, two = (_pixels(spark, p).withColumn("pair_id", F.lit(0)) for p in (a, b))
     found = _one(compare.frame_diff(one, two, tolerance=tolerance), ("pair_id",))
-    out = out or out_path(a, "diff", "diff.png")
+    out = out or os.path.join("out", f"{subject_of(a)}_vs_{subject_of(b)}", "diff", "diff.png")
     _save(compare.diff_overlay(one, two, tolerance=tolerance), out, dry_run)
     box = {c: found.pop(f"bbox_{c}") for c in "xywh"}
     return {k: v for k, v in found.items() if v is not None} | {"bbox": box, "tolerance": tolerance, "out": out, "dry_run": dry_run}
@@ -380,9 +380,23 @@ def export(spark, folder: str = "", format: str = "", out: str | None = None, li
     if not format:
         raise ValueError("give a format")
     chosen = formats.get(format)
-    frames = framesets.read_frames(spark, _absolute(folder), rows=format == "sheet").cache()
+    frames = framesets.read_frames(spark, absolute(folder), rows=format == "sheet").cache()
     return chosen.export(frames, out or out_path(folder, "export"), subject_of(folder), {"source": _header(spark, folder).get("source") or folder} | options)
 
 
 def as_json(report: dict) -> str:
     return json.dumps(report, indent=2)
+
+
+def as_text(report: dict, indent: str = "") -> str:
+    """A report as lines of names and values; lists of records are counted, and listed below."""
+    lines = []
+    for name, value in report.items():
+        if isinstance(value, dict):
+            lines += [f"{indent}{name}:", as_text(value, indent + "  ")]
+        elif isinstance(value, list) and value and isinstance(value[0], dict):
+            lines.append(f"{indent}{name}: {len(value)}")
+            lines += [f"{indent}  " + " ".join(f"{k}={v}" for k, v in row.items()) for row in value]
+        else:
+            lines.append(f"{indent}{name}: {', '.join(map(str, value)) if isinstance(value, list) else value}")
+    return "\n".join(lines)

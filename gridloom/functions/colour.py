@@ -47,6 +47,11 @@ def frame_delay(fps: int) -> int:
     return max(1, (200 + fps) // (2 * fps))
 
 
+def delay_column(fps) -> Column:
+    """frame_delay of a column."""
+    return F.greatest(F.lit(1), div(200 + F.col(fps), 2 * F.col(fps))).cast("int")
+
+
 def round_up(value, step: int) -> Column:
     return (F.ceil(value / step) * step).cast("int")
 

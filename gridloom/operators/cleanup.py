@@ -88,15 +88,25 @@ def remove_background(px: DataFrame, method: str = "auto", key=None, tolerance:
     return edge_removal(px, tolerance, connectivity or 4)
 
 
+def _compared(old, new) -> list:
+    both_clear = (old["a"] == 0) & (new["a"] == 0)
+    clear = F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
+    return [
+        F.count_if(old["a"].between(1, 254) & (new["a"] == 0)).alias("fractional_pixels_zeroed"),
+        F.count_if(~both_clear & (old != new)).alias("changed_pixels"),
+        F.count_if((old != clear) & (new == clear)).alias("removed_pixels"),
+    ]
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per image: partly transparent pixels that became transparent, pixels that changed (all transparent
-    ones are alike), and pixels that were cleared."""
+    ones are alike), and pixels that were cleared. For images of any two sources, joined by place."""
     new = after.select("image_id", "x", "y", F.struct(*CHANNELS).alias("n"))
     joined = before.select("image_id", "x", "y", F.struct(*CHANNELS).alias("o")).join(new, ["image_id", "x", "y"])
-    both_clear = (F.col("o.a") == 0) & (F.col("n.a") == 0)
-    clear = F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
-    return joined.groupBy("image_id").agg(
-        F.count_if(F.col("o.a").between(1, 254) & (F.col("n.a") == 0)).alias("fractional_pixels_zeroed"),
-        F.count_if(~both_clear & (F.col("o") != F.col("n"))).alias("changed_pixels"),
-        F.count_if((F.col("o") != clear) & (F.col("n") == clear)).alias("removed_pixels"),
-    )
+    return joined.groupBy("image_id").agg(*_compared(F.col("o"), F.col("n")))
+
+
+def changes_of(px: DataFrame, operator) -> DataFrame:
+    """The same for an operator on pixels: each row carries what it was, so that nothing is joined."""
+    kept = operator(px.withColumn("o", F.struct(*CHANNELS))).withColumn("n", F.struct(*CHANNELS))
+    return kept.groupBy("image_id").agg(*_compared(F.col("o"), F.col("n")))

@@ -104,12 +104,13 @@ def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
 
 def snap(px: DataFrame, palette: DataFrame) -> DataFrame:
     """Visible pixels take the nearest palette colour and keep their alpha; an empty palette changes
-    nothing. Distances are worked out once for each distinct colour."""
-    distinct = px.where(F.col("a") != 0).select("r", "g", "b").distinct()
-    table = nearest(distinct, palette)
-    joined = px.join(table, ["r", "g", "b"], "left")
-    picked = {c: F.when(F.col("a") == 0, F.lit(0)).otherwise(F.coalesce(F.col("n" + c), F.col(c))) for c in "rgb"}
-    return joined.withColumns(picked).select(*px.columns)
+    nothing. Distances are worked out once for each distinct colour. Transparent pixels, which all have one
+    colour, stand apart, so that they never meet under one key; of visible ones a hot colour can be split."""
+    visible = px.where(F.col("a") != 0)
+    joined = visible.join(nearest(visible.select("r", "g", "b").distinct(), palette), ["r", "g", "b"], "left")
+    picked = joined.withColumns({c: F.coalesce(F.col("n" + c), F.col(c)) for c in "rgb"}).select(*px.columns)
+    clear = px.where("a = 0").withColumns({c: F.lit(0).cast(px.schema[c].dataType) for c in "rgb"})
+    return picked.unionByName(clear.select(*px.columns))
 
 
 def _diffuse(pdf: pd.DataFrame, colours: np.ndarray) -> pd.DataFrame:
@@ -117,23 +118,24 @@ def _diffuse(pdf: pd.DataFrame, colours: np.ndarray) -> pd.DataFrame:
     # errors are carried at 16 bits in sixteenths; transparent pixels enter as black and pass errors on
     image = np.zeros((h, w, 3), dtype=np.int64)
     image[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy() * 257
-    wide = colours.astype(np.int64) * 257
-    now, after = np.zeros((w + 2, 3), np.int64), np.zeros((w + 2, 3), np.int64)
-    out = np.zeros((h, w, 3), dtype=np.int64)
-    for y in range(h):
-        for x in range(w):
-            value = np.clip(image[y, x] + np.trunc(now[x + 1] / 16).astype(np.int64), 0, 65535)
-            off = value - wide
-            at = int(np.argmin(((off * off) >> 2).sum(1)))
-            out[y, x] = colours[at]
-            error = off[at]
-            after[x] += error * 3
-            after[x + 1] += error * 5
-            after[x + 2] += error
-            now[x + 2] += error * 7
-        now, after = after, np.zeros((w + 2, 3), np.int64)
+    wide = [tuple(c) for c in (colours.astype(np.int64) * 257).tolist()]
+    toward = lambda value, error: min(65535, max(0, value + (error // 16 if error >= 0 else -(-error // 16))))
+    now = [[0, 0, 0] for _ in range(w + 2)]
+    chosen = np.zeros((h, w), dtype=np.int64)
+    for y, line in enumerate(image.tolist()):
+        after = [[0, 0, 0] for _ in range(w + 2)]
+        for x, pixel in enumerate(line):
+            r, g, b = map(toward, pixel, now[x + 1])
+            at = min(range(len(wide)), key=lambda i: ((r - wide[i][0]) ** 2 >> 2) + ((g - wide[i][1]) ** 2 >> 2) + ((b - wide[i][2]) ** 2 >> 2))  # noqa: B023
+            chosen[y, x] = at
+            for c, error in enumerate((r - wide[at][0], g - wide[at][1], b - wide[at][2])):
+                after[x][c] += error * 3
+                after[x + 1][c] += error * 5
+                after[x + 2][c] += error
+                now[x + 2][c] += error * 7
+        now = after
     result = pdf.copy()
-    result[["r", "g", "b"]] = out[pdf["y"], pdf["x"]]
+    result[["r", "g", "b"]] = colours[chosen[pdf["y"], pdf["x"]]]
     result.loc[pdf["a"] == 0, CHANNELS] = 0
     return result
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.colour import checked, div, premultiplied
 from gridloom.model import CHANNELS
 from gridloom.operators.stats import bbox
+from gridloom.shipping import ship
 
 LEAST_CONFIDENCE = 0.5
 SCALES = (8, 4, 3, 2)
@@ -70,17 +73,38 @@ def guess_grid(px: DataFrame, min_gap: int = 1) -> DataFrame:
 
 
 def inspect_sheet(px: DataFrame, declared: tuple[int, int] | None = None) -> DataFrame:
-    """The sheet report: stats, distinct colours, the grid, and a warning where a declared grid differs."""
+    """The sheet report: stats, distinct colours, and a grid. That is the detected one, if it is at all sure,
+    or the declared one with a warning where no grid is detected, or one of other counts or cells."""
     from gridloom.operators.stats import image_stats, unique_colours
 
-    found = image_stats(px).join(unique_colours(px), "image_id").join(guess_grid(px), "image_id", "left")
+    found = image_stats(px).join(unique_colours(px), "image_id").join(guess_grid(px).where("confidence > 0"), "image_id", "left")
     if declared is None:
         return found.withColumn("grid_warning", F.lit(None).cast("string"))
     cols, rows = (checked("grid", v, 1) for v in declared)
-    fits = F.assert_true((F.col("w") % cols == 0) & (F.col("h") % rows == 0), "grid does not divide the sheet")
-    differs = (F.col("cols") != cols) | (F.col("rows") != rows)
-    text = F.format_string(f"declared grid {cols}x{rows} differs from detected %dx%d", "cols", "rows")
-    return found.where(F.coalesce(fits.cast("boolean"), F.lit(True))).withColumn("grid_warning", F.when(differs, text))
+    divides = (F.col("w") % cols == 0) & (F.col("h") % rows == 0)
+    found = found.where(F.when(divides, True).otherwise(F.raise_error(F.lit("grid does not divide the sheet")).cast("boolean")))
+    own = {"cols": F.lit(cols), "rows": F.lit(rows), "cell_w": div("w", cols).cast("int"), "cell_h": div("h", rows).cast("int")}
+    same = F.lit(True)
+    for name, value in own.items():
+        same = same & (F.col(name) == value)
+    text = F.format_string(
+        f"declared grid {cols}x{rows} (cell %dx%d) does not match detected %dx%d (cell %dx%d, confidence %.2f)",
+        own["cell_w"], own["cell_h"], "cols", "rows", "cell_w", "cell_h", "confidence",
+    )
+    warning = F.when(F.col("cols").isNull(), F.lit("auto-detection found no grid structure to compare against")).when(~same, text)
+    found = found.withColumn("grid_warning", warning)
+    return found.withColumns(own | {"offset_x": F.lit(0), "offset_y": F.lit(0), "confidence": F.lit(1.0)})
+
+
+def crop(px: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """The pixels of a rectangle, counted from its corner. A rectangle that is empty or reaches beyond an image
+    is an error."""
+    if w < 1 or h < 1:
+        raise ValueError("crop rectangle is empty")
+    inside = F.lit(x >= 0 and y >= 0) & (F.col("w") >= x + w) & (F.col("h") >= y + h)
+    fine = px.where(F.when(inside, True).otherwise(F.raise_error(F.lit("crop rectangle is outside image bounds")).cast("boolean")))
+    cut = fine.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+    return cut.withColumns({"x": F.col("x") - x, "y": F.col("y") - y, "w": F.lit(w), "h": F.lit(h)})
 
 
 def slice_grid(px: DataFrame, cols: int, rows: int = 1) -> DataFrame:
@@ -126,15 +150,36 @@ def trim_frames(frames: DataFrame) -> DataFrame:
 
 
 def block_uniformity(px: DataFrame, factors: tuple[int, ...] = SCALES) -> DataFrame:
-    """image_id, f, ox, oy, ratio: share of whole f x f blocks, starting at the offset, of one colour. A
-    block is named by numbers; all offsets of a factor are read in one pass with partial aggregation."""
-    choices = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(ox).alias("ox"), F.lit(oy).alias("oy")) for f in factors for ox in range(f) for oy in range(f)]))
+    """image_id, f, ox, oy, ratio: share of whole f x f blocks, starting at the offset, of one colour. A block
+    has one colour if no pixel in it differs from its right or lower neighbour there, which prefix sums over an
+    image tell for all blocks of an offset at once."""
     colour = (premultiplied("r") * 65536 + premultiplied("g") * 256 + premultiplied("b")).cast("long") * 256 + F.col("a")
-    rows = px.where("w > 1 and h > 1").select("image_id", "x", "y", "w", "h", colour.alias("c"), choices.alias("s")).select("image_id", "x", "y", "w", "h", "c", "s.*")
-    rows = rows.where("f <= w and f <= h and x >= ox and y >= oy").withColumn("bx", div(F.col("x") - F.col("ox"), "f")).withColumn("by", div(F.col("y") - F.col("oy"), "f"))
-    rows = rows.where((F.col("bx") < div(F.col("w") - F.col("ox"), "f")) & (F.col("by") < div(F.col("h") - F.col("oy"), "f")))
-    blocks = rows.groupBy("image_id", "f", "ox", "oy", "bx", "by").agg((F.min("c") == F.max("c")).cast("int").alias("same"))
-    return blocks.groupBy("image_id", "f", "ox", "oy").agg((F.sum("same") / F.count(F.lit(1))).alias("ratio"))
+    kind = px.schema["image_id"].dataType.simpleString()
+    ship(px.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
+        image = np.zeros((h, w), dtype=np.int64)
+        image[pdf["y"], pdf["x"]] = pdf["c"]
+        right, down = np.zeros((h + 1, w + 1), np.int32), np.zeros((h + 1, w + 1), np.int32)
+        right[1:, 2:] = np.cumsum(np.cumsum(image[:, 1:] != image[:, :-1], axis=0), axis=1)
+        down[2:, 1:] = np.cumsum(np.cumsum(image[1:] != image[:-1], axis=0), axis=1)
+        rows = []
+        for f in factors:
+            if f > w or f > h:
+                continue
+            for ox in range(min(f, w - f + 1)):
+                for oy in range(min(f, h - f + 1)):
+                    x, y = np.arange(ox, w - f + 1, f), np.arange(oy, h - f + 1, f)[:, None]
+                    inner = lambda s, dx, dy: s[y + f, x + f] - s[y + dy, x + f] - s[y + f, x + dx] + s[y + dy, x + dx]  # noqa: B023, E731
+                    same = (inner(right, 1, 0) == 0) & (inner(down, 0, 1) == 0)
+                    rows.append((f, ox, oy, float(same.mean())))
+        found = pd.DataFrame(rows, columns=["f", "ox", "oy", "ratio"])
+        found.insert(0, "image_id", pdf["image_id"].iloc[0])
+        return found
+
+    slim = px.where("w > 1 and h > 1").select("image_id", "x", "y", "w", "h", colour.alias("c"))
+    return slim.groupBy("image_id").applyInPandas(run, f"image_id {kind}, f int, ox int, oy int, ratio double")
 
 
 def detect_scale(px: DataFrame) -> DataFrame:

@@ -42,11 +42,16 @@ def frames(px: DataFrame) -> DataFrame:
     return px.select(div("image_id", 4).cast("int").alias("set_id"), (F.col("image_id") % 4).alias("frame"), "x", "y", "r", "g", "b", "a", "w", "h")
 
 
+#: What stays visible of the varied rasters: pixels of high alpha within cells whose size and offset depend on the image.
+_STEP, _OFF = "(4 + image_id % 3 * 2)", "(image_id % 2)"
+_SEEN = f"a >= 128 AND x >= {_OFF} AND y >= {_OFF} AND (x - {_OFF}) % {_STEP} < 3 AND (y - {_OFF}) % {_STEP} < 3"
+
+
 def varied(px: DataFrame) -> DataFrame:
-    """Only opaque pixels of a strong red stay visible, so that boxes differ."""
+    """Rasters with few visible pixels, so that boxes and grids differ."""
     from gridloom.operators.cleanup import clear_where
 
-    return clear_where(px, (F.col("a") < 255) | (F.col("r") < 200))
+    return clear_where(px, ~F.expr(_SEEN))
 
 
-VARIED_SQL = "vx AS (SELECT image_id, x, y, " + ", ".join(f"CASE WHEN a < 255 OR r < 200 THEN 0 ELSE {c} END AS {c}" for c in "rgba") + ", w, h FROM px)"
+VARIED_SQL = "vx AS (SELECT image_id, x, y, " + ", ".join(f"CASE WHEN {_SEEN} THEN {c} ELSE 0 END AS {c}" for c in "rgba") + ", w, h FROM px)"

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.colour import div, frame_delay, hex_colour
+from gridloom.functions.colour import delay_column, div, hex_colour
 from gridloom.operators import align, cleanup, colours, compare, grid, pack, scale, segment, stats
 from gridloom.plans.fixtures import PALETTE, PALETTE_SQL, PX_SQL, VARIED_SQL, frames, palette, pixels, varied
+from gridloom.plans.sequential import DITHER, FLOOD, MEDIAN_CUT, ROWS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,12 +104,12 @@ def key_removal(px, spark):
 
 @query(f"SELECT image_id, count(*) FILTER (({KEYED}) AND a < 255) AS fractional_pixels_zeroed, count(*) FILTER ({KEYED}) AS changed_pixels, count(*) FILTER ({KEYED}) AS removed_pixels FROM px GROUP BY image_id")
 def background_changes(px, spark):
-    return cleanup.changes(px, cleanup.key_removal(px, (100, 100, 100), 60))
+    return cleanup.changes_of(px, lambda p: cleanup.key_removal(p, (100, 100, 100), 60))
 
 
 @query("SELECT image_id, count(*) FILTER (a BETWEEN 1 AND 127) AS fractional_pixels_zeroed, count(*) FILTER (a BETWEEN 1 AND 127) AS changed_pixels, count(*) FILTER (a BETWEEN 1 AND 127) AS removed_pixels FROM px GROUP BY image_id")
 def changed_pixels(px, spark):
-    return cleanup.changes(px, cleanup.threshold_alpha(px, 128))
+    return cleanup.changes_of(px, lambda p: cleanup.threshold_alpha(p, 128))
 
 
 @query(
@@ -124,7 +125,10 @@ def edge_removal_tol0(px, spark):
     return cleanup.edge_removal(px, 0)
 
 
-@query()
+@query(
+    "SELECT p.image_id, x, y, " + ", ".join(f"CASE WHEN f.cell IS NULL THEN {c} ELSE 0 END AS {c}" for c in "rgba") + ", w, h FROM px p LEFT JOIN flood f ON f.image_id = p.image_id AND f.cell = y * 16 + x",
+    FLOOD.format(tolerance=90, connectivity=8),
+)
 def edge_removal_tol(px, spark):
     return cleanup.edge_removal(px, 90, 8)
 
@@ -142,7 +146,7 @@ def palette_few(px, spark):
     return colours.extract_palette(px, 256)
 
 
-@query()
+@query("SELECT * FROM chosen", f"hist AS ({HIST}), " + MEDIAN_CUT.format(most=16))
 def median_cut(px, spark):
     return colours.extract_palette(px, 16)
 
@@ -166,7 +170,10 @@ def palette_text(px, spark):
     return found.select("image_id", "ord", hex_colour().alias("hex"), gpl.alias("gpl"))
 
 
-@query()
+@query(
+    "SELECT image_id, x, y, " + ", ".join(f"CASE WHEN a = 0 THEN 0 ELSE p{c} END AS {c}" for c in "rgb") + ", a, w, h FROM (SELECT *, y * 16 + x AS k FROM px) JOIN spread USING (image_id, k) JOIN pal ON ord = pick",
+    PALETTE_SQL + ", " + DITHER,
+)
 def dither(px, spark):
     return colours.dither(px, list(PALETTE))
 
@@ -208,12 +215,29 @@ def grid_guess_varied(px, spark):
 
 
 @query(
-    f"""SELECT s.*, unique_colors, g.* EXCLUDE (image_id), CASE WHEN cols <> 4 OR rows <> 2 THEN printf('declared grid 4x2 differs from detected %dx%d', cols, rows) END AS grid_warning
-        FROM (SELECT image_id, w, h, {STATS} FROM px GROUP BY image_id, w, h) s JOIN ({UNIQUE}) u USING (image_id) LEFT JOIN ({GUESS}) g USING (image_id)""",
-    GRID_CTE,
+    f"""SELECT s.*, unique_colors, 4 AS cols, 2 AS rows, 4 AS cell_w, 8 AS cell_h, 0 AS offset_x, 0 AS offset_y, 1.0::DOUBLE AS confidence,
+               CASE WHEN coalesce(confidence, 0) = 0 THEN 'auto-detection found no grid structure to compare against'
+                    WHEN cols <> 4 OR rows <> 2 OR cell_w <> 4 OR cell_h <> 8
+                    THEN printf('declared grid 4x2 (cell 4x8) does not match detected %dx%d (cell %dx%d, confidence %.2f)', cols, rows, cell_w, cell_h, confidence::DOUBLE) END AS grid_warning
+        FROM (SELECT image_id, w, h, {STATS.replace("px", "vx")} FROM vx GROUP BY image_id, w, h) s JOIN ({UNIQUE.replace("px", "vx")}) u USING (image_id) LEFT JOIN ({GUESS}) g USING (image_id)""",
+    VARIED_SQL + ", " + OCC + ", " + BANDS.format(gap=1) + ", " + AXES,
 )
 def inspect_sheet(px, spark):
-    return grid.inspect_sheet(px, (4, 2))
+    return grid.inspect_sheet(varied(px), (4, 2))
+
+
+@query(
+    f"""SELECT s.*, unique_colors, cols, rows, cell_w, cell_h, offset_x, offset_y, confidence, NULL::VARCHAR AS grid_warning
+        FROM (SELECT image_id, w, h, {STATS} FROM vx GROUP BY image_id, w, h) s JOIN ({UNIQUE.replace("px", "vx")}) u USING (image_id) LEFT JOIN (SELECT * FROM ({GUESS}) WHERE confidence > 0) g USING (image_id)""",
+    VARIED_SQL + ", " + OCC + ", " + BANDS.format(gap=1) + ", " + AXES,
+)
+def inspect_sheet_auto(px, spark):
+    return grid.inspect_sheet(varied(px))
+
+
+@query("SELECT image_id, x - 2 AS x, y - 3 AS y, r, g, b, a, 9 AS w, 7 AS h FROM px WHERE x BETWEEN 2 AND 10 AND y BETWEEN 3 AND 9")
+def crop(px, spark):
+    return grid.crop(px, 2, 3, 9, 7)
 
 
 SLICED = "SELECT image_id, y // 8 * {cols} + x // {cw} AS frame, x % {cw} AS x, y % 8 AS y, r, g, b, a, {cw} AS w, 8 AS h, x // {cw} * {cw} AS src_x, y // 8 * 8 AS src_y FROM {px}"
@@ -346,16 +370,23 @@ def row_tolerance(px, spark):
     return segment.row_tolerance(_boxes(px))
 
 
-@query()
+GROUPED = REACH + ", " + BOXES + ", comps AS (SELECT image_id AS gid, comp_id AS id, min_x, min_y, max_x, max_y FROM boxes WHERE area >= 3), " + ROWS
+LTR = "(SELECT b.*, row_idx, col_idx, row_number() OVER (PARTITION BY image_id ORDER BY row_idx, col_idx) - 1 AS idx FROM boxes b JOIN grouped ON gid = image_id AND id = comp_id)"
+
+
+@query("SELECT * FROM " + LTR, GROUPED)
 def group_rows(px, spark):
     return segment.ordered(_boxes(px).where("area >= 3"), "ltr")
 
 
-@query(
-    """, subjects AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, min_x, min_y, comp_id) - 1 AS frame FROM boxes WHERE area >= 3),
+IN_CELLS = """, subjects AS ({subjects}),
     sized AS (SELECT *, ((8 - (max_x - min_x)) / 2)::DOUBLE AS hx FROM subjects)
     SELECT image_id, frame, cx AS x, cy AS y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a, 8 AS w, 8 AS h
-    FROM sized, range(8) i(cx), range(8) j(cy) LEFT JOIN px ON px.image_id = sized.image_id AND px.x = cx - trunc(hx)::INT + min_x AND px.y = cy - (8 - (max_y - min_y)) + min_y AND px.x < max_x AND px.x >= min_x AND px.y < max_y AND px.y >= min_y""".replace("SELECT image_id, frame, cx", "SELECT sized.image_id, frame, cx"),
+    FROM sized, range(8) i(cx), range(8) j(cy) LEFT JOIN px ON px.image_id = sized.image_id AND px.x = cx - trunc(hx)::INT + min_x AND px.y = cy - (8 - (max_y - min_y)) + min_y AND px.x < max_x AND px.x >= min_x AND px.y < max_y AND px.y >= min_y""".replace("SELECT image_id, frame, cx", "SELECT sized.image_id, frame, cx")
+
+
+@query(
+    IN_CELLS.replace("{subjects}", "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, min_x, min_y, comp_id) - 1 AS frame FROM boxes WHERE area >= 3"),
     REACH + ", " + BOXES,
 )
 def place_in_cell(px, spark):
@@ -363,7 +394,7 @@ def place_in_cell(px, spark):
     return segment.to_cells(px, subjects, (8, 8), "feet", "crop")
 
 
-@query()
+@query(IN_CELLS.replace("{subjects}", "SELECT *, idx AS frame FROM " + LTR), GROUPED)
 def segment_subjects(px, spark):
     return segment.segment_subjects(px, 128, min_area=3, cell=(8, 8), fit="crop")[1]
 
@@ -479,7 +510,11 @@ def pack_positioned(px, spark):
     return pack.pack(placed, padding=1)
 
 
-@query()
+@query(
+    """SELECT set_id, frame, row, col, cols, rows, (col * cell_w)::INT AS x, (row * cell_h)::INT AS y, cell_w, cell_h, (cols * cell_w)::INT AS sheet_w, (rows * cell_h)::INT AS sheet_h, mixed_sizes
+       FROM (SELECT gid AS set_id, id AS frame, row_idx AS row, col_idx AS col, max(col_idx) OVER (PARTITION BY gid) + 1 AS cols, max(row_idx) OVER (PARTITION BY gid) + 1 AS rows FROM grouped) JOIN mc USING (set_id)""",
+    SIZED + ", comps AS (SELECT set_id AS gid, frame AS id, frame % 2 * 20 AS min_x, frame // 2 * 24 + frame % 2 AS min_y, frame % 2 * 20 + w AS max_x, frame // 2 * 24 + frame % 2 + h AS max_y FROM sz), " + ROWS,
+)
 def pack_source_rows(px, spark):
     rect = F.struct((F.col("frame") % 2 * 20).alias("x"), (div("frame", 2) * 24 + F.col("frame") % 2).cast("int").alias("y"), "w", "h")
     return pack.pack(_sheet_frames(px).withColumn("rect", rect))
@@ -507,12 +542,11 @@ def sheet_manifest(px, spark):
     return found.withColumn("rect", F.format_string("{'x': %d, 'y': %d, 'w': %d, 'h': %d}", "rect.x", "rect.y", "rect.w", "rect.h"))
 
 
-@query("SELECT f AS fps, greatest(1, round(100.0 / f))::INT AS delay_cs, (greatest(1, round(100.0 / f)) * 4 * 10)::INT AS duration_ms FROM range(1, 251) t(f)")
+@query("SELECT image_id, (1 + image_id % 250)::INT AS fps, greatest(1, round(100.0 / (1 + image_id % 250)))::INT AS delay_cs, (greatest(1, round(100.0 / (1 + image_id % 250))) * 4 * 10)::INT AS duration_ms FROM (SELECT DISTINCT image_id FROM px)")
 def gif_delay(px, spark):
-    del px
-    rows = [(f, frame_delay(f)) for f in range(1, 251)]
-    table = spark.createDataFrame(rows, "fps bigint, delay_cs int")
-    return table.withColumn("duration_ms", (F.col("delay_cs") * 40).cast("int"))
+    shown = px.select("image_id", (1 + F.col("image_id") % 250).cast("int").alias("fps")).distinct()
+    delayed = shown.withColumn("delay_cs", delay_column("fps"))
+    return delayed.withColumn("duration_ms", (F.col("delay_cs") * 40).cast("int"))
 
 
 @query(

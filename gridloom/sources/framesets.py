@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.sources.files import listed
 from gridloom.sources.manifests import frames_of, read_manifests
 from gridloom.sources.png import read_images
 
@@ -40,11 +41,19 @@ def by_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return _needed(_filled(joined.where(there)), "the manifest has no frames")
 
 
+def _numbered(images: DataFrame, numbers: dict) -> DataFrame:
+    """images with numbers over all of them. Only their names are put in order, in one task; the images are
+    joined with that."""
+    every = W.partitionBy(F.lit(0))
+    names = images.select("image_id", *[c for c in images.columns if c in ("tag", "path")])
+    ranked = names.withColumns({name: value(every) - 1 for name, value in numbers.items()}).select("image_id", *numbers)
+    return images.join(ranked, "image_id")
+
+
 def by_names(spark: SparkSession, folder: str) -> DataFrame:
     """frame_*.png in the order of their names; each is its own rect."""
-    images = read_images(spark, folder, NAME)
-    order = W.partitionBy(F.lit(0)).orderBy("image_id")
-    found = images.withColumn("index", F.row_number().over(order) - 1).withColumn("path", F.regexp_extract("image_id", r"([^/]*)$", 1))
+    images = read_images(spark, folder, NAME).withColumn("path", F.regexp_extract("image_id", r"([^/]*)$", 1))
+    found = _numbered(images, {"index": lambda w: F.row_number().over(w.orderBy("image_id"))})
     return _needed(_filled(found), "no frames")
 
 
@@ -52,19 +61,21 @@ def by_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Each directory that has frames is a row, named by it; rows and frames go by name."""
     images = read_images(spark, os.path.join(folder, "*"), NAME)
     parts = images.withColumn("tag", F.regexp_extract("image_id", r"([^/]*)/[^/]*$", 1)).withColumn("path", F.regexp_extract("image_id", r"([^/]*/[^/]*)$", 1))
-    every, own = W.partitionBy(F.lit(0)), W.partitionBy("tag").orderBy("image_id")
-    found = parts.withColumns(
-        {"row": F.dense_rank().over(every.orderBy("tag")) - 1, "col": F.row_number().over(own) - 1, "index": F.row_number().over(every.orderBy("tag", "image_id")) - 1}
-    )
-    return _needed(_filled(found), "no frames")
+    numbers = {
+        "row": lambda w: F.dense_rank().over(w.orderBy("tag")), "index": lambda w: F.row_number().over(w.orderBy("tag", "image_id")),
+        "col": lambda w: F.row_number().over(W.partitionBy("tag").orderBy("image_id")),
+    }
+    return _needed(_filled(_numbered(parts, numbers)), "no frames")
 
 
 def read_frames(spark: SparkSession, folder: str, rows: bool = False) -> DataFrame:
     """The first of manifest, (if rows) directories, names that the folder has."""
-    if not os.path.isdir(folder):
+    entries = listed(spark, folder)
+    if entries is None:
         raise ValueError(f"not a directory: {folder}")
-    if os.path.exists(os.path.join(folder, "manifest.json")):
+    if entries.get("manifest.json") is False:
         return by_manifest(spark, folder)
-    if rows and any(os.path.isdir(os.path.join(folder, d)) and any(n.startswith("frame_") and n.endswith(".png") for n in os.listdir(os.path.join(folder, d))) for d in os.listdir(folder)):
+    inner = lambda name: listed(spark, f"{folder}/{name}") or {}
+    if rows and any(is_folder and any(n.startswith("frame_") and n.endswith(".png") for n in inner(name)) for name, is_folder in entries.items()):
         return by_rows(spark, folder)
     return by_names(spark, folder)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.model import MANIFEST
+from gridloom.sources.files import write_bytes
 
 VERSION = 1
 
@@ -46,10 +46,5 @@ def manifest_dict(header: dict, frames: list[dict]) -> dict:
     return out
 
 
-def write_manifest(path: str, header: dict, frames: list[dict]) -> None:
-    """Written beside its place and then moved there, so that a reader never sees a part of it."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    part = f"{path}.part"
-    with open(part, "w") as file:
-        file.write(json.dumps(manifest_dict(header, frames), indent=2) + "\n")
-    os.replace(part, path)
+def write_manifest(spark: SparkSession, path: str, header: dict, frames: list[dict]) -> None:
+    write_bytes(spark, path, (json.dumps(manifest_dict(header, frames), indent=2) + "\n").encode())

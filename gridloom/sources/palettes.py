@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.sources.files import write_bytes
+
 Colour = tuple[int, int, int]
 PROGRAM = "gridloom"
 
@@ -69,15 +71,13 @@ def read_palette(spark: SparkSession, path: str) -> list[Colour]:
     return READERS[kind](_text(spark, path))
 
 
-def write_palette(colours: list[Colour], path: str, kind: str = "hex") -> str:
+def write_palette(spark: SparkSession, colours: list[Colour], path: str, kind: str = "hex") -> str:
     """The palette's text, written to a path unless that is -."""
     if kind not in WRITERS:
         raise ValueError(f"unknown palette format: {kind}")
     text = WRITERS[kind](colours)
     if path != "-":
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        with open(path, "w") as file:
-            file.write(text)
+        write_bytes(spark, path, text.encode())
     return text
 
 

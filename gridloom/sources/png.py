@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import CHANNELS, IMAGES
 from gridloom.shipping import ship
+from gridloom.sources.files import write_bytes
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 # Channels of each colour type, and the start and step of Adam7's passes.
@@ -33,32 +34,39 @@ def _chunks(data: bytes):
 def _unfiltered(raw: memoryview, width: int, rows: int, per_pixel: int) -> tuple[np.ndarray, int]:
     """rows x width bytes without their filters, and the bytes read. width: of a row, in bytes."""
     out = np.zeros((rows, width), dtype=np.uint8)
-    above = bytearray(width)
+    above = np.zeros(width, dtype=np.uint8)
     at = 0
     for y in range(rows):
-        kind, line = raw[at], bytearray(raw[at + 1 : at + 1 + width])
+        kind, line = raw[at], np.frombuffer(raw[at + 1 : at + 1 + width], np.uint8)
         at += 1 + width
-        if kind == 2:
-            line = bytearray((np.frombuffer(line, np.uint8) + np.frombuffer(above, np.uint8)).tobytes())
+        if kind == 1:
+            line = np.cumsum(line.reshape(-1, per_pixel), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            line = _from_left(line.tolist(), above.tolist(), per_pixel, kind == 4)
         elif kind:
-            for i in range(width):
-                a = line[i - per_pixel] if i >= per_pixel else 0
-                b, c = above[i], above[i - per_pixel] if i >= per_pixel else 0
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + b) >> 1
-                elif kind == 4:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                else:
-                    raise ValueError("not a PNG: unknown filter")
-                line[i] = (line[i] + guess) & 255
-        out[y] = np.frombuffer(line, np.uint8)
-        above = line
+            raise ValueError("not a PNG: unknown filter")
+        out[y] = line
+        above = out[y]
     return out, at
 
 
+def _from_left(line: list[int], above: list[int], per_pixel: int, best_of_three: bool) -> np.ndarray:
+    """The two filters in which a byte depends on the one before it and on those above: their mean, or the one of
+    three that is nearest to left + above - above left."""
+    line, above = [0] * per_pixel + line, [0] * per_pixel + above
+    for i in range(per_pixel, len(line)):
+        a, b = line[i - per_pixel], above[i]
+        if best_of_three:
+            c = above[i - per_pixel]
+            near_a, near_b, near_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            line[i] = (line[i] + (a if near_a <= near_b and near_a <= near_c else b if near_b <= near_c else c)) & 255
+        else:
+            line[i] = (line[i] + ((a + b) >> 1)) & 255
+    return np.array(line[per_pixel:], dtype=np.uint8)
+
+
 def _samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
     if depth == 8:
         return rows.reshape(len(rows), width, channels)
@@ -166,23 +174,19 @@ def images_of(px: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return px.select(*ids, "x", "y", *CHANNELS, "w", "h").groupBy(*ids).applyInPandas(join, f"{kinds}, w int, h int, data binary")
 
 
-def write_images(images: DataFrame, folder: str, name: str = "image_id") -> DataFrame:
-    """Each image as <folder>/<name>.png, written where the image is; name and path of what was written."""
-    ship(images.sparkSession)
+def write_images(images: DataFrame, folder: str, name: str = "image_id") -> list[str]:
+    """Each image as <folder>/<name>.png, on any file system that Spark can write; the paths. Workers encode;
+    the driver takes one file at a time and puts it in its place, since workers may share no folder with it."""
+    spark = images.sparkSession
+    ship(spark)
 
     def run(batches):
-        import os
-
         for pdf in batches:
-            paths = []
-            for key, w, h, data in zip(pdf[name], pdf["w"], pdf["h"], pdf["data"], strict=True):
-                path = os.path.join(folder, f"{key}.png")
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.part"
-                with open(part, "wb") as file:
-                    file.write(encode(np.frombuffer(bytes(data), np.uint8).reshape(h, w, 4)))
-                os.replace(part, path)
-                paths.append(path)
-            yield pd.DataFrame({"name": pdf[name].astype(str), "path": paths})
-
-    return images.select(name, "w", "h", "data").mapInPandas(run, "name string, path string")
+            files = [encode(np.frombuffer(bytes(d), np.uint8).reshape(h, w, 4)) for w, h, d in zip(pdf["w"], pdf["h"], pdf["data"], strict=True)]
+            yield pd.DataFrame({"name": pdf[name].astype(str), "png": files})
+
+    paths = []
+    for row in images.select(name, "w", "h", "data").mapInPandas(run, "name string, png binary").toLocalIterator():
+        paths.append(f"{folder}/{row.name}.png")
+        write_bytes(spark, paths[-1], bytes(row.png))
+    return paths

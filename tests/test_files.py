@@ -61,7 +61,7 @@ def test_palette_files(tmp_path, spark):
     listed = [(18, 24, 56), (242, 193, 78)]
     for kind in ("hex", "gpl"):
         path = str(tmp_path / f"p.{kind.upper()}")
-        palettes.write_palette(listed, path, kind)
+        palettes.write_palette(spark, listed, path, kind)
         assert palettes.read_palette(spark, path) == listed
     assert palettes.parse_hex("# a comment\n#0a0b0c trailing\n\n") == [(10, 11, 12)]
     for bad in ("", "red\n", "#zzzzzz\n"):
@@ -74,7 +74,7 @@ def test_palette_files(tmp_path, spark):
 def test_manifest_shapes(spark, tmp_path):
     rect = {"x": 1, "y": 2, "w": 3, "h": 4}
     path = str(tmp_path / "m" / "manifest.json")
-    write_manifest(path, {"cell_w": 3, "cell_h": 4, "cols": 1, "rows": 1}, [{"index": 0, "path": "a.png", "rect": rect, "duration_ms": 0, "pivot": {"x": 0, "y": 0}}])
+    write_manifest(spark, path, {"cell_w": 3, "cell_h": 4, "cols": 1, "rows": 1}, [{"index": 0, "path": "a.png", "rect": rect, "duration_ms": 0, "pivot": {"x": 0, "y": 0}}])
     text = json.load(open(path))
     assert text["version"] == 1 and text["frames"][0] == {"index": 0, "path": "a.png", **rect, "pivot": {"x": 0, "y": 0}, "duration_ms": 0}
     old = tmp_path / "old.json"
@@ -163,7 +163,67 @@ def test_registries():
     assert [f["name"] for f in formats.listed()] == ["gif", "sheet"] and len(api.spec()) == 17
     with pytest.raises(ValueError):
         formats.register(formats.Format("gif", "", None))
-    assert api.subject_of("out/knight/slice") == "knight" and api.subject_of("out/slice/knight") == "knight" and api.subject_of("a/b.png") == "b"
+
+
+def test_names_of_outputs():
+    expected = {
+        ".cache/slime3.png": "slime3", "out/snap/slime3/native.png": "slime3", "out/slime3/snap/native.png": "slime3", "out/knight/resize/frame_000.png": "knight", "out/paladin1/rows": "paladin1",
+        "out/knight/slice": "knight", "out/slice/knight": "knight", "a/b.png": "b", "out/knight/slice.png": "slice", "out/knight/background/x.png": "x", "": "artifact", ".": "artifact",
+        ".png": "artifact", "out/a/out/b/prep/c.png": "b", "dir.d/": "dir.d",
+    }
+    assert {p: api.subject_of(p) for p in expected} == expected
+
+
+def test_default_outputs(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    save("out/slime3/snap/native.png", np.tile(image(4, 4), (2, 2, 1)))
+    path, dry = "out/slime3/snap/native.png", {"dry_run": True}
+    (tmp_path / "p.hex").write_text("#121838\n#4a7ad8\n")
+    assert api.prep_alpha(spark, path, **dry)["out"] == "out/slime3/prep/clean.png"
+    assert api.prep_background(spark, path, **dry)["out"] == "out/slime3/prep/background.png"
+    assert api.snap_pixels(spark, path, "p.hex", **dry)["out"] == "out/slime3/snap/snapped.png"
+    assert api.snap_scale(spark, path, **dry)["out"] == "out/slime3/snap/native.png"
+    assert api.palette_extract(spark, path, **dry)["out"] == "out/slime3/palette/extracted-16.hex"
+    assert api.palette_apply(spark, path, "p.hex", **dry)["out"] == "out/slime3/palette/applied.png"
+    assert api.normalize_detail(spark, path, factor=1, **dry)["out"] == "out/slime3/normalize/detail.png"
+    assert api.resize_image(spark, path, up=2, **dry)["out"] == "out/slime3/resize/image.png"
+    assert api.diff_frames(spark, path, path, **dry)["out"] == "out/slime3_vs_slime3/diff/diff.png"
+    assert api.slice_grid(spark, path, 2, 2)["out"] == "out/slime3/slice" and os.path.exists("out/slime3/slice/frame_003.png")
+    report = api.prep_alpha(spark, path, **dry)
+    assert "out: out/slime3/prep/clean.png" in api.as_text(report).splitlines() and "alpha:" in api.as_text(api.inspect_frame(spark, path))
+
+
+def test_declared_grid(spark, tmp_path):
+    sheet = np.zeros((8, 32, 4), np.uint8)
+    for i in range(4):
+        sheet[:7, 8 * i : 8 * i + 7] = RED
+    save(path := str(tmp_path / "sheet.png"), sheet)
+    save(flat := str(tmp_path / "flat.png"), np.full((8, 8, 4), 255, np.uint8))
+    detected = api.inspect_sheet(spark, path)
+    assert detected["grid"] == {"cols": 4, "rows": 1, "cell_w": 8, "cell_h": 8, "offset_x": 0, "offset_y": 0, "confidence": 1.0} and "grid_warning" not in detected
+    assert "grid_warning" not in api.inspect_sheet(spark, path, "4X1") and "grid" not in api.inspect_sheet(spark, path, "None")
+    declared = api.inspect_sheet(spark, path, "2x1")
+    assert declared["grid"] == {"cols": 2, "rows": 1, "cell_w": 16, "cell_h": 8, "offset_x": 0, "offset_y": 0, "confidence": 1.0}
+    assert declared["grid_warning"] == "declared grid 2x1 (cell 16x8) does not match detected 4x1 (cell 8x8, confidence 1.00)"
+    assert api.inspect_sheet(spark, flat, "2x2")["grid_warning"] == "auto-detection found no grid structure to compare against"
+    assert "grid" not in api.inspect_sheet(spark, flat)
+    assert not api.envelope(api.inspect_sheet, spark, path, "3x1")["ok"]
+
+
+def test_resize_frames_keeps_the_header(spark, tmp_path):
+    frames = [{"index": i, "path": f"frame_{i:03d}.png", "rect": {"x": 3 + 16 * i, "y": 4, "w": 16, "h": 16}, "duration_ms": 80 + i} for i in range(2)]
+    frames[0]["pivot"] = {"x": 5, "y": 11}
+    for i, size in enumerate((16, 18)):
+        save(str(tmp_path / "set" / f"frame_{i:03d}.png"), np.full((size, size, 4), 255, np.uint8))
+    header = {"cell_w": 0, "cell_h": 1, "cols": 2, "rows": 1, "source": "s", "sheet": "x.png", "sheet_size": {"w": 32, "h": 16}}
+    write_manifest(spark, str(tmp_path / "set" / "manifest.json"), header, frames)
+    report = api.resize_frames(spark, str(tmp_path / "set"), str(tmp_path / "half"), down=2, method="Nearest")
+    made = json.load(open(tmp_path / "half" / "manifest.json"))
+    assert (report["cell_w"], report["cell_h"]) == (8, 8) == (made["cell_w"], made["cell_h"])
+    assert report["warnings"] == ['frame "frame_001.png" has no pivot; leaving manifest pivot absent']
+    assert made["sheet"] == "x.png" and made["sheet_size"] == {"w": 32, "h": 16} and made["source"] == "s"
+    assert made["frames"][0]["pivot"] == {"x": 2, "y": 5} and made["frames"][0]["x"] == 3 and made["frames"][1]["duration_ms"] == 81 and "pivot" not in made["frames"][1]
+    assert not api.envelope(api.resize_frames, spark, str(tmp_path / "set"), up=2, method="cubic")["ok"]
 
 
 def test_stream_of_images(spark, tmp_path):

@@ -177,3 +177,29 @@ def test_scalars():
             parse_colour(bad)
     with pytest.raises(ValueError):
         parse_size("0x2")
+
+
+def test_crop(spark):
+    px = raster(spark, 6, 5, [(2, 1, 4, 3, RED)])
+    cut = grid.crop(px, 1, 1, 3, 2)
+    assert cut.count() == 6 and cut.select("w", "h").distinct().collect() == [(3, 2)]
+    assert {(r.x, r.y) for r in cut.where("a > 0").collect()} == {(1, 0), (2, 0), (1, 1), (2, 1)}
+    with pytest.raises(ValueError):
+        grid.crop(px, 0, 0, 0, 2)
+    for place in ((4, 0, 3, 1), (-1, 0, 2, 2), (0, 4, 1, 2)):
+        with pytest.raises(Exception, match="outside image bounds"):
+            grid.crop(px, *place).collect()
+
+
+def test_changes_in_one_row_and_by_join(spark):
+    px = raster(spark, 4, 4, [(0, 0, 2, 4, RED), (2, 0, 3, 4, (9, 9, 9, 60))])
+    operator = lambda p: cleanup.threshold_alpha(p, 128)
+    one = cleanup.changes_of(px, operator).collect()
+    assert one == cleanup.changes(px, operator(px)).collect() == [("a", 4, 4, 4)]
+
+
+def test_snap_with_many_pixels_of_one_colour(spark):
+    px = raster(spark, 4, 2, [(0, 0, 3, 1, (250, 5, 5, 200)), (3, 1, 4, 2, (0, 0, 9, 255))])
+    palette = spark.createDataFrame([(0, 255, 0, 0), (1, 0, 0, 0)], "ord int, r int, g int, b int")
+    found = table(colours.snap(px, palette))
+    assert len(found) == 8 and found[0, 0] == (255, 0, 0, 200) and found[3, 1] == (0, 0, 0, 255) and found[0, 1] == (0, 0, 0, 0)
