@@ -36,7 +36,7 @@ from gridloom.llm.common import Rows, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
-KEPT_WORDS, KEPT_LENGTH = 1_000_000, 32
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 400_000, 32  # of each of two generations
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -72,6 +72,7 @@ class Transducer:
     model: Model
     ids: dict[str, int] = field(init=False)
     pairs: dict[tuple[str, str], bool] = field(init=False, default_factory=dict)
+    old_pairs: dict[tuple[str, str], bool] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         pieces = self.model.pieces
@@ -102,7 +103,18 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What byte-pair merges make of a text: best score first, leftmost among equals."""
-        parts: list[str | None] = list(text)
+        parts, scores = list(text), self.score
+        if len(parts) <= 24:  # a scan of all pairs is cheaper than a heap
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    score = scores.get(parts[i] + parts[i + 1])
+                    if score is not None and (best is None or score > best):
+                        best, at = score, i
+                if best is None:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
 
@@ -127,17 +139,21 @@ class Transducer:
         return [p for p in parts if p is not None]
 
     def _follows(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
+        key = left, right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            found = self.old_pairs.get(key)
+            if found is None:
+                found = self.merged(left + right) == [left, right]
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs, self.old_pairs = {}, self.pairs
+            self.pairs[key] = found
         return found
 
     def path(self, text: str) -> list[str]:
         """The shortest path's pieces for one normalised word. A composed state is (the piece that it
         remembers, least cost, last piece, the state before it); states stand by their place."""
-        size, begin, follows, scores, additive = len(text), self.start, self.pairs.get, self.score, self.model.kind == UNIGRAM
+        size, begin, pairs, scores, additive = len(text), self.start, self.pairs, self.score, self.model.kind == UNIGRAM
         states: list[list[tuple]] = [[] for _ in range(size + 1)]
         states[0].append(("", 0.0, "", None))
         for at in range(size):
@@ -165,10 +181,13 @@ class Transducer:
                     else:
                         kept = piece
                         if last:
-                            finite = follows((last, piece))
+                            finite = pairs.get((last, piece))
                             if not (finite if finite is not None else self._follows(last, piece)):
                                 continue
                     ahead = states[end]
+                    if not ahead:
+                        ahead.append((kept, cost, piece, state))
+                        continue
                     for i, other in enumerate(ahead):
                         if other[0] == kept:
                             if cost < other[1]:
@@ -209,18 +228,23 @@ class Transducer:
 
 
 class _Kept(dict):
-    """Ids of words met lately; emptied when full."""
+    """Ids of words met lately, in two generations: when one is full, the older one goes, and words that are met
+    again move on from it."""
 
     def __init__(self, owner: Transducer):
         super().__init__()
-        self.owner = owner
+        self.owner, self.old = owner, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.owner.word(word)
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = found
+        found = self.old.get(word)
+        if found is None:
+            found = self.owner.word(word)
+            if len(word) > KEPT_LENGTH:
+                return found
+        if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
 
