@@ -9,10 +9,10 @@ lie five standard deviations below what a linked pair has, so a link is lost abo
 Long lists (over ``LONG`` classes: shared passages, large groups of copies) are never turned into pairs.
 They are left out of the lists above, which costs nothing for a class that has few values in them. The
 other classes ("crowded") are indexed again, among themselves, by more of their sketch: values that are
-rare there make pairs as before. Classes whose sketch is mostly made of common values even there are
-compared with a hub, the most central class of each list; only classes that two rounds of this have not
-joined with the list's largest component then meet the other components of the list, by their sketches.
-So no pair within a known component is looked at, and no pair across components is left out.
+rare there make pairs as before. Classes whose sketch is mostly made of common values even there meet list by list: a hub, the most central
+class of a list, joins most of them, and each class that no hub has joined with the list's largest component
+meets all others of the list by its full set. So hardly a pair within a component is looked at, and no pair
+across components is left out.
 
 Full sets are worked out where the texts are read, for the documents that some pair asks for: a filter of
 a bounded size over their ids goes to the readers, and what passes by chance is joined away.
@@ -46,7 +46,9 @@ SKETCH, PREFIX, LONG = 64, 16, 64
 CROWDED = 4  # common values in a prefix
 OFTEN, HALF, MOSTLY = 38, 32, 51  # common values in a sketch; see _crowd_pairs
 RARE_PREFIX = 24
-HUB_ROUNDS = 2
+HUB_TURNS = 8
+MOST_VALUES = 1 << 21  # of the sets of a block of a list
+FEW_SETS, COLUMNS, MOST_CELLS = 32, 256, 1 << 22  # see list_links
 LEAST_PERCENT = 80  # what the numbers above are made for
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -199,51 +201,104 @@ def _crowd_pairs(classes: DataFrame, crowded: DataFrame, like: Likeness) -> tupl
 def _hub_links(lists: DataFrame, links: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """links with those between classes of the lists (v, doc, n, weight) added.
 
-    Members of a large group of near copies differ from its centre in places of their own, so that what is
-    linked with any other member is, as a rule, linked with the most central one, whose values are the most
-    common. That class is the hub. What a hub leaves out meets all others of its list at last; such a pair
-    is met once, under its smallest common value, and made only if its full sets confirm it."""
+    A list is one group of rows up to ``MOST_VALUES`` values. A longer one is dealt out to blocks of about that
+    size, and every two blocks meet in a group of their own, so that no task holds more than two of them."""
     if lists.isEmpty():
         return links
-    own = lists.groupBy("doc").agg(F.array_sort(F.collect_list("v")).alias("values"))
-    held = cut(sets.join(own, "doc").select("doc", "shingles", F.slice("shingles", 1, SKETCH).alias("sketch"), "values"))
-    for turn in range(HUB_ROUNDS):
-        open_lists = _open_lists(lists, links)
-        if open_lists.isEmpty():
-            return links
-        some = open_lists if turn == 0 else open_lists.where("root <> largest")
-        hub = some.groupBy("v").agg(F.max_by(F.struct("doc", "n", "root"), F.struct("weight", "doc")).alias("hub"))
-        met = open_lists.join(hub, "v").where((F.col("root") != F.col("hub.root")) & like.sizes(F.col("n"), F.col("hub.n")))
-        met = cut(met.select(F.least(F.col("doc"), F.col("hub.doc")).alias("a"), F.greatest(F.col("doc"), F.col("hub.doc")).alias("b")).distinct(), open_lists)
-        links = cut(links.unionByName(_confirmed(_estimated(met, held, like), held, like)), met, links)
-    open_lists = _open_lists(lists, links)
-    # a pair is met in the list of its smallest common value: none of the smaller ones is in both
-    fewer = F.slice("values", 1, F.array_position("values", F.col("v")).cast("int") - 1)
-    full = cut(open_lists.join(held, "doc").withColumn("fewer", fewer).drop("values", "weight"), open_lists)
-    if full.isEmpty():
-        return links
-    some, other = full.where("root <> largest").alias("p"), full.alias("q")
-    p, q = (lambda name: F.col(f"p.{name}")), (lambda name: F.col(f"q.{name}"))
-    tests = (
-        (p("root") != q("root")) & ((q("root") == q("largest")) | (p("doc") < q("doc"))) & like.sizes(p("n"), q("n")),
-        ~F.arrays_overlap(p("fewer"), q("fewer")),
-        _enough(p("sketch"), q("sketch"), like),
-        like.linked(F.size(F.array_intersect(p("shingles"), q("shingles"))), F.size(p("shingles")), F.size(q("shingles"))),
+    sizes = lists.groupBy("v").agg(F.ceil(F.sum("n") / MOST_VALUES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    groups = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(others, lambda x: F.least(x, F.col("block")).cast("long") * F.col("blocks") + F.greatest(x, F.col("block")))
     )
-    condition = F.lit(True)
-    for test in tests[::-1]:  # each is looked at only where those before it hold
-        condition = F.when(test, condition).otherwise(False)
-    met = some.join(other, (p("v") == q("v")) & condition).select(F.least(p("doc"), q("doc")).alias("a"), F.greatest(p("doc"), q("doc")).alias("b"))
-    return cut(links.unionByName(met), links, full, held)
-
-
-def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of lists in which several components are left, with the root of each class and the largest
-    component of the list."""
-    roots = components(links)
-    placed = cut(lists.join(roots, lists["doc"] == roots["node"], "left").select("v", "doc", "n", "weight", F.coalesce("root", "doc").alias("root")), roots)
-    parts = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("v").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    return cut(placed.join(parts.where("parts > 1").select("v", "largest"), "v"), placed)
+    dealt = lists.join(sizes, "v").withColumn("block", block).select("v", "doc", "weight", F.explode(groups).alias("part"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        shingles = group.column("shingles").combine_chunks()
+        offsets = np.asarray(shingles.offsets).astype(np.int64)
+        docs, weight = np.asarray(group.column("doc")), np.asarray(group.column("weight"))
+        a, b = list_links(docs, weight, offsets - offsets[0], np.asarray(shingles.flatten()), like)
+        return pa.table({"a": pa.array(np.minimum(docs[a], docs[b]), pa.int64()), "b": pa.array(np.maximum(docs[a], docs[b]), pa.int64())})
+
+    met = dealt.join(sets, "doc").select("v", "part", "doc", "weight", "shingles").groupBy("v", "part").applyInArrow(run, "a bigint, b bigint")
+    return cut(links.unionByName(met), links)
+
+
+def list_links(docs: np.ndarray, weight: np.ndarray, offsets: np.ndarray, values: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Places a, b of links between the sets values[offsets[i]:offsets[i + 1]] that join what all links join.
+
+    Members of a large group of near copies differ from its centre in places of their own, so that what is
+    linked with any other member is, as a rule, linked with the most central one, whose values are the most
+    common (weight). So the most central sets outside the largest component meet all others first; then every
+    set still outside it meets all others. Whole sets are counted: common values by products of 0/1 matrices,
+    rare ones by their lists."""
+    m, sizes = len(docs), np.diff(offsets)
+    owner = np.repeat(np.arange(m), sizes)
+    _, name, count = np.unique(values, return_inverse=True, return_counts=True)
+    comp = np.arange(m)
+    found: list[tuple[int, int]] = []
+
+    def linked(both: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return like.linked(both.astype(np.int64), sizes[rows][:, None], sizes[None, :])
+
+    def join(i: int, near: np.ndarray) -> None:
+        for j in near[np.unique(comp[near], return_index=True)[1]].tolist():
+            if comp[i] != comp[j]:
+                found.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+
+    def rest() -> np.ndarray:
+        return np.flatnonzero(comp != np.bincount(comp).argmax())
+
+    order = np.lexsort((docs, weight))[::-1]
+    for turn in range(HUB_TURNS):
+        outside = order if turn == 0 else order[comp[order] != np.bincount(comp).argmax()]
+        if len(outside):
+            hub = int(outside[0])
+            own = np.zeros(len(count), dtype=bool)
+            own[name[offsets[hub] : offsets[hub + 1]]] = True
+            join(hub, np.flatnonzero(linked(np.bincount(owner, own[name], m)[None, :], np.array([hub]))[0]))
+            order = order[order != hub]  # it has met all others
+    left = rest()
+    if not len(left):
+        return _places(found)
+    # rare values: the sets that hold each one; common ones: their column in the matrices
+    rare = np.flatnonzero((count[name] > 1) & (count[name] <= FEW_SETS))
+    by_name = rare[np.argsort(name[rare], kind="stable")]
+    holders, begins = owner[by_name], np.searchsorted(name[by_name], np.arange(len(count)))
+    often = np.flatnonzero(count > FEW_SETS)
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    dense = np.flatnonzero(column[name] >= 0)
+    dense = dense[np.argsort(column[name[dense]], kind="stable")]
+    at_column, at_owner = column[name[dense]], owner[dense]
+    step = max(1, MOST_CELLS // m)
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        both = np.zeros((len(rows), m), dtype=np.float32)
+        for c in range(0, len(often), COLUMNS):
+            x, y = np.searchsorted(at_column, [c, c + COLUMNS])
+            held = np.zeros((m, COLUMNS), dtype=np.float32)
+            held[at_owner[x:y], at_column[x:y] - c] = 1
+            both += held[rows] @ held.T
+        flat = both.reshape(-1)
+        for i, row in enumerate(rows.tolist()):
+            mine = name[offsets[row] : offsets[row + 1]]
+            mine = mine[(count[mine] > 1) & (count[mine] <= FEW_SETS)]
+            if len(mine):
+                lengths = count[mine]
+                places = np.repeat(begins[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+                flat[i * m : (i + 1) * m] += np.bincount(holders[places], minlength=m)
+        near = linked(both, rows) & (comp[rows][:, None] != comp[None, :])
+        for i in np.flatnonzero(near.any(1)).tolist():
+            join(int(rows[i]), np.flatnonzero(near[i]))
+    return _places(found)
+
+
+def _places(found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:

@@ -672,3 +672,50 @@ def test_url_vocabulary_from_a_file(spark, tmp_path):
     path.write_text("bad often\n")
     with pytest.raises(ValueError):
         url_filter.read_terms(spark, str(path))
+
+
+@pytest.mark.parametrize("few,columns,cells", [(32, 256, 1 << 22), (2, 7, 2000)])
+def test_list_links_join_what_all_links_join(monkeypatch, few, columns, cells):
+    for name, value in (("FEW_SETS", few), ("COLUMNS", columns), ("MOST_CELLS", cells)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(few)
+    base, sets = rng.sample(range(1 << 40), 80), []
+    for _ in range(250):  # about as unlike the base as a link allows, some of them made from others, some cut short
+        near = list(rng.choice(sets) if sets and rng.random() < 0.3 else base)
+        for _ in range(rng.randint(0, 15)):
+            near[rng.randrange(len(near))] = rng.randrange(1 << 40)
+        sets.append(sorted(set(near[: rng.randint(60, 80)])))
+    like = near_dup.Likeness()
+    both = [[len(set(x) & set(y)) for x in sets] for y in sets]
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    a, b = near_dup.list_links(np.arange(len(sets)), np.zeros(len(sets)), offsets, np.concatenate(sets), like)
+    every = roots((i, j) for i in range(len(sets)) for j in range(i) if like.linked(both[i][j], len(sets[i]), len(sets[j])))
+    assert roots(zip(a.tolist(), b.tolist(), strict=True)) == every
+    assert len(a) == len(sets) - len(set(every))  # a link for each join, however many there are
+    assert 20 < len(set(every)) < 200
+
+
+def test_near_dup_lists_in_blocks_and_few_tables(spark, monkeypatch):
+    """A list's work is one table, in however many blocks."""
+    written, cut = [], near_dup.cut
+    monkeypatch.setattr(near_dup, "LONG", 8)
+    monkeypatch.setattr(near_dup, "MOST_VALUES", 600, raising=False)
+    monkeypatch.setattr(near_dup, "cut", lambda *a, **b: (written.append(1), cut(*a, **b))[1])
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base, rows = rng.choices(vocabulary, k=120), []
+    for i in range(120):
+        near = list(base if i < 60 or i % 2 else rows[i - 1][1].split())
+        for _ in range(rng.randint(0, 9)):
+            near[rng.randrange(len(near))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(near)))
+    same(map(tuple, near_dup.digest(made(spark, rows)).collect()), near_groups(rows))
+    assert 10 < len(written) <= 21
