@@ -63,12 +63,15 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def cut(df: DataFrame, *gone: DataFrame, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, *gone: DataFrame, by: str | None = None, few: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lost executors cost no recomputation
     beyond this point, and every reader sees the same rows. Its shuffle files go when it is written, the
     tables ``gone`` (cut before, read no more) after that, the table itself when the driver ends or it is
-    gone in turn. by: a column to partition the table by."""
+    gone in turn. by: a column to partition the table by. few: the table is small beside its shuffles, and
+    several of their partitions go to one file, since many small files cost more than what is in them."""
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (df.write.partitionBy(by) if by else df.write).parquet(path)

@@ -22,7 +22,7 @@ def components(links: DataFrame, native: bool = False) -> DataFrame:
     a larger one by alternating large and small stars: each round is two joins on a node, tables are written
     between them, so that a node with very many links is split, and the number of rounds grows with the
     logarithm of the nodes. native: no Python in either way."""
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), few=True)
     state = _state(edges)
     if state[0] <= MOST_IN_ONE_TASK and not native:
         ship(links.sparkSession)

@@ -149,7 +149,7 @@ def _pairs(lists: DataFrame, like: Likeness) -> DataFrame:
 
 def _with_counts(lists: DataFrame) -> DataFrame:
     """lists (v, ...) with c, the length of each list; lists of one are dropped."""
-    lengths = cut(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    lengths = cut(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), few=True)
     return cut(lists.join(lengths, "v"), lengths)
 
 
@@ -306,13 +306,13 @@ def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     ship(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc_id").isNotNull())
     base = cut(_sketches(named, like.words))
-    leaders = cut(base.where("n > 0").groupBy("name").agg(F.min("doc").alias("leader")))
+    leaders = cut(base.where("n > 0").groupBy("name").agg(F.min("doc").alias("leader")), few=True)
     members = cut(base.select("doc", "n", "name").join(leaders, "name", "left").select("doc", "n", "name", F.coalesce("leader", "doc").alias("leader")), leaders)
     own = members.where("doc = leader and n > 0").select("doc", "name").distinct()
     classes = cut(base.join(own, ["doc", "name"]).select("doc", "n", "name", "sketch").dropDuplicates(["doc", "name"]), base)
 
     lists = _with_counts(classes.select("doc", "n", F.explode(F.slice("sketch", 1, PREFIX)).alias("v")))
-    common = cut(lists.where(F.col("c") > LONG).groupBy("doc").agg(F.count(F.lit(1)).alias("common")))
+    common = cut(lists.where(F.col("c") > LONG).groupBy("doc").agg(F.count(F.lit(1)).alias("common")), few=True)
     seen = _pairs(lists.where(F.col("c") <= LONG), like).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.greatest(F.first("na"), F.first("nb")).alias("n"))
     ca, cb = (common.select(F.col("doc").alias(x), F.col("common").alias("c" + x)) for x in "ab")
     unseen = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
@@ -320,11 +320,11 @@ def links(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     met = seen.join(ca, "a", "left").join(cb, "b", "left").where(F.col("overlap") >= needed).select("a", "b")
     # sets with fewer values than a prefix are crowded at the same share of them
     sizes = classes.select("doc", "n").groupBy("doc").agg(F.min("n").alias("n"))
-    crowded = cut(common.join(sizes, "doc").where(F.col("common") * PREFIX >= CROWDED * F.least(F.col("n"), F.lit(PREFIX))).select("doc"))
+    crowded = cut(common.join(sizes, "doc").where(F.col("common") * PREFIX >= CROWDED * F.least(F.col("n"), F.lit(PREFIX))).select("doc"), few=True)
     crowded_pairs, hub_lists = _crowd_pairs(classes, crowded, like)
     hub_lists = cut(hub_lists)
     pairs = cut(_estimated(met.unionByName(crowded_pairs).distinct(), classes, like), lists, common, crowded)
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(hub_lists.select("doc")).distinct())
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(hub_lists.select("doc")).distinct(), few=True)
     sets = cut(_full_sets(named, like.words, asked).join(asked, "doc", "left_semi").dropDuplicates(["doc", "name"]).select("doc", "shingles"), asked)
     found = _hub_links(hub_lists, cut(_confirmed(pairs, sets, like), pairs), sets, like)
     drop(sets, classes, hub_lists)
