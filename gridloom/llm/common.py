@@ -7,11 +7,13 @@ through a 64-bit integer mixer, for a whole batch with numpy; long ranges are di
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,21 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+KEPT: dict[str, dict] = {}  # what operators keep in a Python worker from one task to the next, by operator
+
+
+def make_room(owner: str = "") -> None:
+    """In a worker, at the start of a task: what operators other than owner keep there goes, and the memory that
+    this and earlier tasks have freed returns to the system."""
+    for name, kept in KEPT.items():
+        if name != owner:
+            kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library of another kind
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27  # of a filter over ids; a bitmap of Spark's has 2^15
 
 

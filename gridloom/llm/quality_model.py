@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, Texts, crc_mod, slices
+from gridloom.llm.common import Rows, Texts, crc_mod, make_room, slices
 from gridloom.llm.textstats import IS_HEAD, IS_SYMBOL, Stats, flags, sums
 from gridloom.shipping import ship
 
@@ -30,6 +30,7 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAF_WEIGHT, RIDGE = 80, 4, 64, 0.1, 0.2, 0.3
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
+SLICE_BYTES = 1 << 20
 
 _CLASSES = {
     "upper": flags(bytes(range(65, 91))), "lower": flags(bytes(range(97, 123))), "digit": flags(b"0123456789"),
@@ -139,16 +140,23 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Trees(base, np.array(features), np.array(thresholds), np.array(values))
 
 
+def _measured(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches, with the statistics of their texts, column at. They take many
+    times a slice's bytes for a moment, so slices are small."""
+    make_room()
+    for batch in batches:
+        for part in slices(batch, batch.schema.names[at], SLICE_BYTES):
+            yield part, statistics(Texts(part.column(at)))
+
+
 def _with_statistics(rows: DataFrame) -> DataFrame:
     """rid-like first column and text become that column and an array of statistics."""
     key = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = statistics(Texts(part.column(1)))
-                flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=[key, "stats"])
+        for part, found in _measured(batches, 1):
+            flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), flat], names=[key, "stats"])
 
     return rows.mapInArrow(run, f"{key} bigint, stats array<double>")
 
@@ -169,10 +177,8 @@ def _scored(rows: Rows, model: Trees) -> DataFrame:
     at = inner.columns.index(rows.inner["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
-                score = model.score(statistics(Texts(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+        for part, found in _measured(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(found))], names=[*part.schema.names, "score"])
 
     return inner.mapInArrow(run, inner.withColumn("score", F.lit(0.0)).schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rows, slices
+from gridloom.llm.common import KEPT, Rows, make_room, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
@@ -248,7 +248,7 @@ class _Kept(dict):
         return found
 
 
-_compiled: dict[int, Transducer] = {}
+_compiled: dict[int, Transducer] = KEPT.setdefault("sentencepiece", {})
 
 
 def _transducer(shared) -> Transducer:
@@ -278,6 +278,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, check: bool = False) -> Data
     shared = _Shared(docs.sparkSession, Model.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("sentencepiece")
         fst = _transducer(shared)
         for batch in batches:
             for part in slices(batch, name, 1 << 20):

@@ -719,3 +719,14 @@ def test_near_dup_lists_in_blocks_and_few_tables(spark, monkeypatch):
         rows.append((i, " ".join(near)))
     same(map(tuple, near_dup.digest(made(spark, rows)).collect()), near_groups(rows))
     assert 10 < len(written) <= 21
+
+
+def test_classifier_makes_room_in_its_worker(monkeypatch):
+    """What the transducer keeps from task to task goes when the classifier starts in the same worker."""
+    seen, statistics = [], quality_model.statistics
+    monkeypatch.setattr(quality_model, "statistics", lambda texts: (seen.append(len(texts.data)), statistics(texts))[1])
+    monkeypatch.setitem(sentencepiece_fst._compiled, 1, object())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["a word " * 15_000] * 40})
+    parts = list(quality_model._measured(iter([batch]), 1))
+    assert not sentencepiece_fst._compiled
+    assert sum(p.num_rows for p, _ in parts) == 40 and max(seen) <= (1 << 20) + 105_000
